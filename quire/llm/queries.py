@@ -7,10 +7,17 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import bpe, packing, splitting
+from quire.llm import bpe, names, packing, splitting
 from quire.runtime import checkpointed, table
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table of familiar forms is fixed (67 rows)."""
+    familiar = {r.familiar: r.formal for r in table(spark, sf_dir, "name_forms").collect() if r.familiar and r.formal}
+    every = names.all_names(table(spark, sf_dir, "attachments"), table(spark, sf_dir, "chunks"))
+    return names.pairs_of(checkpointed(names.clusters(every, familiar)))
+
+
 def p3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every oversized chunk as its pieces; repeated rows of a chunk give its pieces once."""
     chunks = table(spark, sf_dir, "chunks")
@@ -35,6 +42,7 @@ def p9_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "p1_found": p1_found,
     "p3_found": p3_found,
     "p3_pieces": p3_pieces,
     "p8_ids": p8_ids,
