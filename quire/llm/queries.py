@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import bpe, names, packing, splitting
+from quire.llm import bpe, encoding, names, packing, splitting
 from quire.runtime import checkpointed, table
 
 
@@ -18,6 +18,17 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return names.pairs_of(checkpointed(names.clusters(every, familiar)))
 
 
+def p2_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(chunk_id, restored, evidence) of the affected chunks; repeated rows of a chunk come out once."""
+    chunks = table(spark, sf_dir, "chunks")
+    return encoding.repaired(chunks, ["chunk_id"], "text", *encoding.trained(chunks, "text")).distinct()
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chunks = table(spark, sf_dir, "chunks")
+    return encoding.repaired(chunks, ["chunk_id"], "text", *encoding.trained(chunks, "text"), only_keys=True).select("chunk_id").distinct()
+
+
 def p3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every oversized chunk as its pieces; repeated rows of a chunk give its pieces once."""
     chunks = table(spark, sf_dir, "chunks")
@@ -43,6 +54,8 @@ def p9_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "p1_found": p1_found,
+    "p2_found": p2_found,
+    "p2_restored": p2_restored,
     "p3_found": p3_found,
     "p3_pieces": p3_pieces,
     "p8_ids": p8_ids,
