@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import bpe, encoding, names, packing, splitting
+from quire.llm import bpe, encoding, names, packing, spam, splitting
 from quire.runtime import checkpointed, table
 
 
@@ -52,6 +52,15 @@ def p9_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+def p10_scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, language, distance, spam) of every document with enough text."""
+    return spam.spam(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p10_scored(spark, sf_dir).where("spam").select("doc_id").distinct()
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p2_found": p2_found,
@@ -60,6 +69,8 @@ QUERIES = {
     "p3_pieces": p3_pieces,
     "p8_ids": p8_ids,
     "p9_containers": p9_containers,
+    "p10_found": p10_found,
+    "p10_scored": p10_scored,
 }
 
 SQL = {
