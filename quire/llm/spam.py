@@ -150,6 +150,8 @@ def features(text: str | None) -> tuple[str, float, float, float, float, float,
     pairs = Counter(zip(tokens, tokens[1:]))
     repeated = sum(c for c in pairs.values() if c >= 3) / max(1, n - 1)
     single = sum(c for w, c in words.items() if c >= 3 and w not in _ALL_FUNCTION) / n
+    if sum(map(body.count, "(){}[]=<>")) > 0.06 * len(body) and linked < 0.3 * len(text):
+        repeated = single = 0.0  # lines of a program come back, too
     entropy = -sum(c / n * math.log(c / n) for c in words.values()) / math.log(n)
     function = sum(words[w] for w in _ALL_FUNCTION if w in words) / n
     offers = sum(words[w] for w in OFFERS if w in words) / n
@@ -205,8 +207,8 @@ def robust_estimates(rows: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray,
 def spam_direction(x: np.ndarray) -> np.ndarray:
     """Which deviations point towards spam: mostly outside sentences and full of links, of phrases that come
     back (numbers, as of indexes, speak against) or of offers; or sentences stuffed with one phrase."""
-    loose, links, repeats, _, bare, offers, numbers, phrase = x.T
-    listed = (loose >= 0.5) & ((links >= 0.5) | (repeats - 1.5 * numbers >= 0.3) & ((bare >= 0.6) | (offers >= 0.08)) | (offers >= 0.12))
+    loose, links, repeats, _, _, offers, numbers, phrase = x.T
+    listed = (loose >= 0.5) & ((links >= 0.5) | (repeats - 1.5 * numbers >= 0.3) | (offers >= 0.12))
     stuffed = (phrase >= 0.3) | (phrase >= 0.2) & (offers >= 0.08)
     return listed | stuffed
 
