@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import bpe, encoding, names, packing, spam, splitting
+from quire.llm import bpe, encoding, names, packing, scans, spam, splitting
 from quire.runtime import checkpointed, table
 
 
@@ -41,6 +41,19 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.where("n_pieces > 1").select("chunk_id").distinct()
 
 
+def p6_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(chunk_id, repaired, counts of repairs by kind) of the affected chunks; repeated rows of a chunk come out once."""
+    chunks = table(spark, sf_dir, "chunks")
+    return scans.repaired(chunks, scans.lexicon_of(chunks, "text")).dropDuplicates(["chunk_id"])
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words broken by hyphens, misread signs, running headers or page numbers; gaps and splits alone are no case."""
+    chunks = table(spark, sf_dir, "chunks")
+    found = scans.repaired(chunks, scans.lexicon_of(chunks, "text"), only_kinds=True)
+    return found.where("hyphen + misread + header + number > 0").select("chunk_id").distinct()
+
+
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_column(table(spark, sf_dir, "documents"), "doc_id", "text")
 
@@ -67,6 +80,8 @@ QUERIES = {
     "p2_restored": p2_restored,
     "p3_found": p3_found,
     "p3_pieces": p3_pieces,
+    "p6_found": p6_found,
+    "p6_repaired": p6_repaired,
     "p8_ids": p8_ids,
     "p9_containers": p9_containers,
     "p10_found": p10_found,
