@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import bpe, encoding, names, packing, scans, spam, splitting
+from quire.llm import boilerplate, bpe, encoding, markup, names, packing, scans, spam, splitting
 from quire.runtime import checkpointed, table
 
 
@@ -41,6 +41,25 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.where("n_pieces > 1").select("chunk_id").distinct()
 
 
+def p4_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(chunk_id, block_no, body): the probability of every block of an HTML snapshot that it is main body."""
+    chunks = table(spark, sf_dir, "chunks").select("chunk_id", "attachmentKey", "title", "text")
+    return boilerplate.judged(chunks.where(F.col("chunk_id").contains(":html:")), boilerplate.trained(chunks))
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p4_blocks(spark, sf_dir).where("body < 0.5").select("chunk_id", "block_no").distinct()
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return markup.families(table(spark, sf_dir, "notes"), "noteKey", "note_html").withColumnRenamed("key", "note_key")
+
+
+def p5_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(note_key, clean) of every distinct text of a note."""
+    return markup.cleaned(table(spark, sf_dir, "notes"), "noteKey", "note_html").withColumnRenamed("noteKey", "note_key")
+
+
 def p6_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(chunk_id, repaired, counts of repairs by kind) of the affected chunks; repeated rows of a chunk come out once."""
     chunks = table(spark, sf_dir, "chunks")
@@ -80,6 +99,10 @@ QUERIES = {
     "p2_restored": p2_restored,
     "p3_found": p3_found,
     "p3_pieces": p3_pieces,
+    "p4_found": p4_found,
+    "p4_blocks": p4_blocks,
+    "p5_found": p5_found,
+    "p5_clean": p5_clean,
     "p6_found": p6_found,
     "p6_repaired": p6_repaired,
     "p8_ids": p8_ids,
