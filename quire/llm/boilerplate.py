@@ -82,7 +82,7 @@ BODY = [
     "- the first reading of the list", "- weights and measures of the port", "1. The register was copied twice.",
 ]
 
-_TOKEN = re.compile(r"[^\W\d_]+|\d+|[©|•·›»>–—/:.,;?!]")
+_TOKEN = re.compile(r"[^\W\d_]+|\d+|[©|•·›»>–—/:.,;?!\n]")
 _WORD = re.compile(r"[^\W\d_]+")
 _SEPARATOR = re.compile(r"\s*(?:[|•·›»>/]|\s–\s|\n|\s{2,})\s*")
 _SENTENCE = re.compile(r"[.?!。！？][\"'”’»)\]]*(?:\s|$)")
@@ -196,7 +196,7 @@ def fit_on_labelled(titles: list[str], body: list[str], pages: list[str]) -> Cla
     furniture = labelled_furniture(titles)
     prose = [b for t in body for b in split_blocks(t) if b.strip()]
     pieces = [s for t in prose[:: 3] for s in re.split(r"(?<=[.?!。]) +", t)[:2] if len(s) > 15]
-    good = prose + pieces + titles * 3 + BODY * 12 + labelled_lists() * 2 + ["Contents", "Introduction", "Summary", "Notes"] * 5
+    good = prose + pieces + titles * 3 + BODY * 12 + labelled_lists(copies=300) * 2 + ["Contents", "Introduction", "Summary", "Notes"] * 5
     blocks = furniture + good
     y = np.array([0] * len(furniture) + [1] * len(good))
     first = Classifier().fit(blocks, y)
