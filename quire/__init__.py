@@ -1,0 +1 @@
+"""Document retrieval and corpus preparation as DataFrame operators."""

@@ -46,7 +46,11 @@ def main(sf, names):
         if name not in sql:
             print(f"{name}: {len(got)} rows, {took:.1f} s, no SQL; {str(got[:2])[:200]}", flush=True)
             continue
-        res = con.execute(sql[name])
+        try:
+            res = con.execute(sql[name])
+        except duckdb.Error as e:
+            print(f"{name}: the SQL fails: {str(e)[:300]}", flush=True)
+            continue
         cols = [c[0] for c in res.description]
         want = rows(cols, res.fetchall())
         have = rows(df.columns, got)
