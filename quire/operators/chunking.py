@@ -66,7 +66,7 @@ def chunk_epub(chapters: DataFrame, owner: str, keep: list[str], *, chapter: str
     df = df.withColumn("__paras", t.paragraphs(F.col("__clean"), t.joiner(F.substring("__clean", 1, t.SAMPLE_CHARS))))
     firsts = [F.first(c).alias(c) for c in keep if c != owner]
     books = df.groupBy(owner).agg(F.array_sort(F.collect_list(F.struct(F.col(chapter).alias("c"), F.col("__paras").alias("p")))).alias("__book"), *firsts)
-    flat = F.flatten(F.transform("__book", lambda b: F.transform(b["p"], lambda p: F.struct(b["c"].alias("c"), p.alias("p")))))
+    flat = F.flatten(F.transform("__book", lambda b: F.transform(F.coalesce(b["p"], F.array().cast("array<string>")), lambda p: F.struct(b["c"].alias("c"), p.alias("p")))))
     books = books.withColumn("__flat", flat).withColumn("__paras", F.transform("__flat", lambda x: x["p"])).withColumn("__sample", _sample(F.col("__paras")))
     books = books.where((F.size("__paras") > 0) & ~t.is_gibberish(F.col("__sample")))
     records = _records(F.col("__paras"), F.col(owner), F.lit("epub"), config, F.transform("__flat", lambda x: x["c"]))

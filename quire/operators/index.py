@@ -5,10 +5,12 @@ of the old version are not disturbed, and a job that fails leaves the pointer wh
 
 from __future__ import annotations
 
+import json
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from quire.operators.incremental import changed, stale
 from quire.schemas import CHUNKS
@@ -52,7 +54,7 @@ class Collection:
         self._fs = self._path(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
     def _versions(self) -> list[int]:
-        """Committed versions: a pointer is an empty file named by its version."""
+        """Committed versions: a pointer is a file named by its version, with its schema."""
         at = self._path(f"{self.path}/_current")
         return sorted(int(s.getPath().getName()) for s in self._fs.listStatus(at)) if self._fs.exists(at) else []
 
@@ -64,7 +66,10 @@ class Collection:
         versions = self._versions()
         if not versions:
             return self.spark.createDataFrame([], CHUNKS)
-        out = self.spark.read.parquet(f"{self.path}/version={versions[-1]}")
+        stream = self._fs.open(self._path(f"{self.path}/_current/{versions[-1]}"))
+        schema = StructType.fromJson(json.loads(self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")))
+        stream.close()
+        out = self.spark.read.schema(schema).parquet(f"{self.path}/version={versions[-1]}")
         sample = out.where("embedding IS NOT NULL").select(F.size("embedding")).limit(1).collect()
         if sample and sample[0][0] != self.dim:
             raise ValueError(f"collection {self.path} has vectors of {sample[0][0]}, not {self.dim} dimensions")
@@ -76,7 +81,9 @@ class Collection:
         target = f"{self.path}/version={version}"
         chunks.write.mode("overwrite").partitionBy("source_type").parquet(target)
         self._fs.mkdirs(self._path(f"{self.path}/_current"))
-        self._fs.create(self._path(f"{self.path}/_current/{version}"), True).close()
+        pointer = self._fs.create(self._path(f"{self.path}/_current/{version}"), True)
+        pointer.write(bytearray(chunks.schema.json(), "utf-8"))  # an empty version has no file to tell its schema
+        pointer.close()
         for old in self._versions()[:-keep]:
             self._fs.delete(self._path(f"{self.path}/_current/{old}"), False)
             self._fs.delete(self._path(f"{self.path}/version={old}"), True)
