@@ -51,7 +51,9 @@ def enumerate_patterns(sizes: np.ndarray, counts: np.ndarray, capacity: int, ite
                 pattern.append(c)
                 rest -= c
             found[tuple(sorted(pattern, reverse=True))] = rest
-    ranked = sorted(found, key=lambda p: (found[p] / len(p), p))
+    # a pattern that leaves room for one more length is none: the residual is packed without a bound on the items
+    slack = max(int(sizes[0]) - 1, capacity // 100)
+    ranked = sorted((p for p in found if found[p] <= slack), key=lambda p: (found[p] / len(p), p))
     # the best of all, and the best for every length, so that each can be used
     kept = dict.fromkeys(ranked[:most])
     seen: defaultdict[int, int] = defaultdict(int)
@@ -88,7 +90,7 @@ def plan(histogram: list[tuple[int, int]], capacity: int) -> list[tuple[int, int
     sizes = np.array(sorted(left), dtype=np.int64)
     counts = np.array([left[s] for s in sizes.tolist()], dtype=np.float64)
     patterns = enumerate_patterns(sizes, counts, capacity)
-    wanted = fit(patterns, sizes, counts, capacity)
+    wanted = fit(patterns, sizes, counts, capacity) if patterns else np.empty(0)
     runs: list[tuple[int, int, int, int]] = []
     given: defaultdict[int, int] = defaultdict(int)
     containers = 0

@@ -97,7 +97,7 @@ def keyword(text: str) -> float:
     if n < 12:
         return 0.0
     counts = Counter(words)
-    often = {w for w, c in counts.items() if c >= max(3, 0.03 * n) and w not in _ALL_FUNCTION and len(w) > 1}
+    often = {w for w, c in counts.items() if c >= max(3, 0.03 * n) and w not in _ALL_FUNCTION and len(w) > 1 and not w.isdigit()}
     if not often:
         return 0.0
     pairs = Counter(p for p in zip(words, words[1:]) if p[0] in often and p[1] in often)

@@ -31,7 +31,7 @@ MAX_CHARS, OVERLAP_LATIN, OVERLAP_CJK = 1200, 80, 60
 PARAGRAPH, LINE, SENTENCE, CLAUSE, WORD, NONE = 0.0, 0.5, 1.0, 4.0, 9.0, 30.0
 BALANCE = 6.0
 
-_STRONG = re.compile(r"(?P<para>\n[^\S\n]*\n\s*)|(?P<line>\n\s*)|(?P<sent>(?:[.?!…]['\"”’»)\]]*\s+|[。！？]['\"”’」』）]*\s*))|(?P<clause>[,;:–—]\s+|[，；：、])")
+_STRONG = re.compile(r"(?P<para>\n[^\S\n]*\n\s*)|(?P<line>\n\s*)|(?P<sent>(?:[.?!…]['\"”’»)\]]*[^\S\n]+|[。！？]['\"”’」』）]*[^\S\n]*))|(?P<clause>[,;:–—]\s+|[，；：、])")
 _KIND = {"para": PARAGRAPH, "line": LINE, "sent": SENTENCE, "clause": CLAUSE}
 _WORD = re.compile(r"\s+")
 # Abbreviations whose full stop ends no sentence.
