@@ -25,7 +25,8 @@ def test_hyphens(lexicon):
 
 
 def test_misread_signs(lexicon):
-    assert kinds(lexicon, "tbe warden rneasured the rced bed") == {"misread": 3}
+    assert kinds(lexicon, "The warden rneasured tbe rced bed.") == {"misread": 3}
+    assert kinds(lexicon, "rneasured the bed and thc") == {}  # words cut off at the ends
     assert kinds(lexicon, "the l!st 0f the s1rvey") != {}
     assert kinds(lexicon, "Gor0burg and Tormer9a are names") == {"misread": 2}
     assert kinds(lexicon, "the rare unknownword Xyzburg was found iii 4th H2O") == {}
