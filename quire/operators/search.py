@@ -133,8 +133,7 @@ def search_passages(
     fused = fuse_passages(hits, k=config.rrf_k)
     if excluded:
         fused = fused.where(~F.col("chunk_id").isin(excluded))
-    # at most 5k rows a query
-    rich = chunks.join(F.broadcast(fused), "chunk_id").where(F.length(F.regexp_replace(F.coalesce("text", F.lit("")), r"(?U)^\s+|\s+$", "")) >= config.min_return_chars)
+    rich = chunks.join(fused, "chunk_id").where(F.length(F.regexp_replace(F.coalesce("text", F.lit("")), r"(?U)^\s+|\s+$", "")) >= config.min_return_chars)
     top = best_first(rich, k)
     out = with_context(top, chunks, context_window).orderBy(F.desc("rrf_score"), "first_q", "first_rank")
     return out.select(F.col("chunk_id").alias("id"), "distance", "rrf_score", citation(F.col("title"), F.col("year"), F.col("page"), F.col("page_label")).alias("citation"), "text", "context", F.struct(*HIT_META).alias("meta"))
@@ -145,5 +144,5 @@ def search_items(queries: DataFrame, chunks: DataFrame, k: int = 10, where: dict
     eligible = chunks.where(compile_where(effective(where, include_notes=include_notes, item_keys=include_item_keys)))
     hits = nearest(queries, eligible, max(10 * k, 100) if k > 0 else 0)
     meta = chunks.select("chunk_id", "itemKey", "title", "year", "creators", "source_type")
-    fused = fuse_items(meta.join(F.broadcast(hits), "chunk_id"), k=config.rrf_k)
+    fused = fuse_items(meta.join(hits, "chunk_id"), k=config.rrf_k)
     return best_first(fused, k).drop("first_q", "first_rank")

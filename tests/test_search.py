@@ -131,3 +131,23 @@ def test_context_round_trip(engine):
     got = engine.get_chunk_context(hit.id, 2)
     assert got["chunk_ids_included"] and [c.id for c in hit.context] == got["chunk_ids_included"]
     assert "error" in engine.get_chunk_context("bad", 2) and "error" in engine.get_chunk_context(hit.id, 0) and "error" in engine.get_chunk_context("NONE:html:para0:part0", 1)
+
+
+def test_inverted_file_reaches_its_recall(spark, tmp_path):
+    from quire.operators import ann
+
+    rows = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select("vec_id", "embedding")
+    queries = rows.where("vec_id % 100 = 0").select(F.col("vec_id").alias("q"), F.col("embedding").alias("vec"))
+    centroids = ann.fit_centroids(rows, 16)
+    odd = spark.createDataFrame([(10**6, None), (10**6 + 1, [0.0] * 64), (10**6 + 2, [1.0])], "vec_id long, embedding array<float>")
+    ann.assign(rows.unionByName(odd), centroids).write.partitionBy("cell").parquet(str(tmp_path / "ivf"))
+    indexed = spark.read.parquet(str(tmp_path / "ivf"))
+    assert indexed.count() == rows.count() + 3
+    got = {(r.q, r.vec_id) for r in ann.search(queries, indexed, centroids, 10, 6, key="vec_id").collect()}
+    want = {(r.q, r.vec_id) for r in search.nearest(queries, rows, 10, key="vec_id").collect()}
+    recall = len(got & want) / len(want)
+    print(f"recall {recall:.3f}")
+    assert recall >= 0.9
+    full = {(r.q, r.vec_id, r.distance) for r in ann.search(queries, indexed, centroids, 10, 16, key="vec_id").collect()}
+    assert full == {(r.q, r.vec_id, r.distance) for r in search.nearest(queries, rows, 10, key="vec_id").collect()}
+    assert ann.search(queries, indexed, ann.fit_centroids(rows.limit(0), 4), 10, 3, key="vec_id").count() == 0
