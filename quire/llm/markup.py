@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import html
 import re
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
 from html.entities import html5
@@ -72,6 +73,9 @@ _DASHES = re.compile(r"^ {0,3}[-+*] +\S", re.M)
 _STARS = re.compile(r"^\*+ *\S|^[#:;]+ +\S", re.M)
 _NUMBERED = re.compile(r"^ {0,3}\d{1,3}\. +\S", re.M)
 _LATEX = re.compile(r"\\(?P<cmd>[A-Za-z]+)\*?(?:\[[^\[\]\n]*\])?(?=\{)|\\(?P<bare>[A-Za-z]+)(?![\w{\\])|(?<=\w)~(?=\\)")
+# Accent commands, the letters they stand on and the combining marks they make.
+_ACCENT = re.compile(r"(?<=[^\W\d_])\\(?P<mark>[\"'`^~])(?:\{(?P<in>[AEIOUYNCSZaeiouyncsz])\}|(?P<on>[AEIOUYNCSZaeiouyncsz]))|\\(?P<mark2>[\"'`^~cvu])\{(?P<in2>[A-Za-z])\}")
+_MARKS = {'"': "\u0308", "'": "\u0301", "`": "\u0300", "^": "\u0302", "~": "\u0303", "c": "\u0327", "v": "\u030c", "u": "\u0306"}
 
 
 @dataclass(frozen=True)
@@ -139,6 +143,7 @@ def lex(text: str) -> list[Token]:
             out.append(Token(m.start(), m.end(), "latex", f"env {env.group(1) if env else ''}", "open" if cmd == "begin" else "close"))
         elif m.group("cmd") or m.group("bare") in BARE_COMMANDS:
             out.append(Token(m.start(), m.end(), "latex", cmd, "single"))
+    out += [Token(m.start(), m.end(), "latex", "accent", "single") for m in _ACCENT.finditer(plain)]
     # entities spell signs; what they spell is no markdown or wiki
     plain = _ENTITY.sub(lambda m: "\x00" * len(m.group()), plain)
     wiki = [(k, m) for k, r in _WIKI.items() for m in r.finditer(plain)]
@@ -256,6 +261,7 @@ def clean(text: str | None) -> str | None:
     s = re.sub(r"^\{\|.*$|^\|[}-].*$", "", s, flags=re.M)
     s = re.sub(r"^[|!] *(.*)$", lambda m: re.sub(r" *(?:\|\||!!) *", " | ", m.group(1)), s, flags=re.M) if "|-" in text else s
     # LaTeX
+    s = _ACCENT.sub(lambda m: unicodedata.normalize("NFC", (m.group("in") or m.group("on") or m.group("in2")) + _MARKS[m.group("mark") or m.group("mark2")]), s)
     s = re.sub(r"\\(?:chapter|(?:sub)*section)\*?\{([^{}]*)\}", lambda m: "\n\n" + "#" * (1 + m.group().count("sub", 0, 16)) + " " + m.group(1) + "\n\n", s)
     s = re.sub(r"\\item(?:\[[^\[\]]*\])? *", "\n- ", s)
     s = re.sub(r"\\(?:begin|end)\{[^{}]*\}(?:\[[^\[\]]*\])?", "\n", s)

@@ -66,9 +66,9 @@ FAMILIES = [
     ("<p>a <b>b</b></p>", {"html"}), ("R &amp; D", {"html"}), ("&lt;b&gt;x&lt;/b&gt;", {"html"}), ("open <br> only", {"html"}), ("text</p>\nmore", {"html"}), ("<!-- c --> x", {"html"}), ("<P CLASS='x'>a<o:p></o:p></P>", {"html"}),
     ("# Head\n\ntext", {"markdown"}), ("Head\n====\n\ntext", {"markdown"}), ("a **b** c", {"markdown"}), ("- one\n- two", {"markdown"}), ("see [a](http://b.invalid/c)", {"markdown"}), ("| a | b |\n|---|---:|\n| 1 | 2 |", {"markdown"}), ("```\nx = [[1]]\n```", {"markdown"}), ("> quoted line\n> another", {"markdown"}), ("a `code` b", {"markdown"}), ("- [ ] task\n- [x] done", {"markdown"}), ("word *em* word", {"markdown"}),
     ("== Head ==\ntext", {"wiki"}), ("a [[link|b]] c", {"wiki"}), ("'''b''' is ''i''", {"wiki"}), ("x{{cite|a=b}}", {"wiki"}), ('{| class="w"\n! a !! b\n|-\n| 1 || 2\n|}', {"wiki"}), ("* one\n* two\n'''b'''", {"wiki"}),
-    ("\\section{A}\ntext", {"latex"}), ("so $x^{2}$ holds", {"latex"}), ("a~\\cite{b}", {"latex"}), ("\\begin{equation}\ny = a_b\n\\end{equation}", {"latex"}), ("\\[ E = m_1 \\]", {"latex"}), ("\\emph{x} y", {"latex"}),
+    ("\\section{A}\ntext", {"latex"}), ("so $x^{2}$ holds", {"latex"}), ("a~\\cite{b}", {"latex"}), ("\\begin{equation}\ny = a_b\n\\end{equation}", {"latex"}), ("\\[ E = m_1 \\]", {"latex"}), ("\\emph{x} y", {"latex"}), ("M\\\"orvik and the caf\\'e", {"latex"}),
     ("<p>a [[b]]</p>", {"html", "wiki"}), ("**a** and $\\beta_1$", {"markdown", "latex"}), ("<pre><code># no head\n**no bold** [[0]] $x^2$</code></pre>", {"html"}),
-    ("plain text", set()), ("p < 0.05 and n > 30, so a < b", set()), ("2 * 3 * 4 boxes; R & D budget [sic].", set()), ("It cost $5 to $10 in 2004.", set()), ("Range ~5–7, x_1 unknown {draft}.", set()), ("1) check dates\n 2) ask the editor", set()), ('"Quoted" -- then nothing.', set()), ("a <- b and c -> d <draft>", set()), ("(C# and F# major)", set()), ("", set()),
+    ("plain text", set()), ("p < 0.05 and n > 30, so a < b", set()), ("2 * 3 * 4 boxes; R & D budget [sic].", set()), ("It cost $5 to $10 in 2004.", set()), ("Range ~5–7, x_1 unknown {draft}.", set()), ("1) check dates\n 2) ask the editor", set()), ('"Quoted" -- then nothing.', set()), ("a <- b and c -> d <draft>", set()), ("(C# and F# major)", set()), ("say \\\"open\\\" here", set()), ("", set()),
 ]
 
 
@@ -96,6 +96,7 @@ def test_classes_of_unknown_tags(spark):
         ("<pre><code># keep\nx = 1\n</code></pre>", "```\n# keep\nx = 1\n```"),
         ("== Head ==\n'''a''' [[b|c]]{{cite|x}}", "# Head\n\na c"),
         ("\\section{H}\n\\emph{a} $x^{2}$ b~\\cite{k}", "# H\n\na $x^{2}$ b"),
+        ("M\\\"orvik, caf\\'e, fa\\c{c}ade", "Mörvik, café, façade"),
         ("Head\n===\n\n**a** [b](http://c.invalid) `k`", "# Head\n\na b `k`"),
         ("\\begin{itemize}\n\\item a\n\\item b\n\\end{itemize}", "- a\n\n- b"),
         ("p < 0.05, 2 * 3 * 4, x_1 {draft}", "p < 0.05, 2 * 3 * 4, x_1 {draft}"),
