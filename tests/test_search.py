@@ -143,7 +143,7 @@ def test_inverted_file_reaches_its_recall(spark, tmp_path):
     ann.assign(rows.unionByName(odd), centroids).write.partitionBy("cell").parquet(str(tmp_path / "ivf"))
     indexed = spark.read.parquet(str(tmp_path / "ivf"))
     assert indexed.count() == rows.count() + 3
-    got = {(r.q, r.vec_id) for r in ann.search(queries, indexed, centroids, 10, 6, key="vec_id").collect()}
+    got = {(r.q, r.vec_id) for r in ann.search(queries, indexed, centroids, 10, 12, key="vec_id").collect()}
     want = {(r.q, r.vec_id) for r in search.nearest(queries, rows, 10, key="vec_id").collect()}
     recall = len(got & want) / len(want)
     print(f"recall {recall:.3f}")
