@@ -22,6 +22,14 @@ CJK_LEAST, LATIN_MOST, SAMPLE_CHARS = 0.20, 0.40, 20_000
 SENTENCE_ENDS = ".?!。！？"
 
 
+def once(c: Column) -> Column:
+    """The expression behind a one-element generator: evaluated once a row, however often it is referred to.
+
+    The optimizer copies a projected expression into every later use; for folds over whole documents that
+    would repeat the work."""
+    return F.explode(F.array(c))
+
+
 def strip(c: Column) -> Column:
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
 
@@ -50,7 +58,7 @@ def clean(c: Column) -> Column:
 
 
 def _solid(c: Column) -> Column:
-    return F.regexp_replace(c, r"(?U)\s", "")
+    return F.regexp_replace(c, r"(?U)\s+", "")
 
 
 def ratio(c: Column, signs: str) -> Column:
@@ -68,7 +76,8 @@ def latin_ratio(c: Column) -> Column:
 
 
 def is_cjk(c: Column) -> Column:
-    return F.coalesce((cjk_ratio(c) >= CJK_LEAST) & (latin_ratio(c) <= LATIN_MOST), F.lit(False))
+    # most texts hold no such sign at all, which one scan tells
+    return F.when(c.rlike(f"[{CJK}]"), (cjk_ratio(c) >= CJK_LEAST) & (latin_ratio(c) <= LATIN_MOST)).otherwise(F.lit(False))
 
 
 def is_no_space_document(c: Column) -> Column:
@@ -171,28 +180,32 @@ def merge_short(records: Column, min_chars: Column, config: EngineConfig = DEFAU
     state = f"struct<out: array<{MERGED}>, open: boolean, buf: {MERGED}>"
     empty = F.struct(F.array().alias("out"), F.lit(False).alias("open"), F.lit(None).alias("buf")).cast(state)
 
+    # the structs below have the types of the state without casts, which would copy ``out`` at every step
     def fresh(r: Column) -> Column:
-        return F.struct(*(strip(r[n]).alias(n) if n == "text" else r[n].alias(n) for n in names), F.lit(None).cast("boolean").alias("merged"), F.lit(None).cast("int").alias("merge_count"), r["locator"].alias("locator_end")).cast(MERGED)
+        return F.struct(*(strip(r[n]).alias(n) if n == "text" else r[n].alias(n) for n in names), F.lit(None).cast("boolean").alias("merged"), F.lit(None).cast("int").alias("merge_count"), r["locator"].alias("locator_end"))
 
     def grown(b: Column, text: Column, locator: Column) -> Column:
         end = F.when(F.coalesce(locator, F.lit("")) != "", locator).otherwise(b["locator_end"])
-        return F.struct(*((F.concat(b["text"], F.lit("\n\n"), text) if n == "text" else b[n]).alias(n) for n in names), F.lit(True).alias("merged"), (F.coalesce(b["merge_count"], F.lit(1)) + 1).alias("merge_count"), end.alias("locator_end")).cast(MERGED)
+        return F.struct(*((F.concat(b["text"], F.lit("\n\n"), text) if n == "text" else b[n]).alias(n) for n in names), F.lit(True).alias("merged"), (F.coalesce(b["merge_count"], F.lit(1)) + 1).alias("merge_count"), end.alias("locator_end"))
 
     def closed(b: Column) -> Column:
-        return F.struct(*(b[n].alias(n) for n in names), b["merged"].alias("merged"), b["merge_count"].alias("merge_count"), F.when(b["merged"], b["locator_end"]).alias("locator_end")).cast(MERGED)
+        return F.struct(*(b[n].alias(n) for n in names), b["merged"].alias("merged"), b["merge_count"].alias("merge_count"), F.when(b["merged"], b["locator_end"]).alias("locator_end"))
+
+    def next_state(out: Column, buf: Column) -> Column:
+        return F.struct(out.alias("out"), F.lit(True).alias("open"), buf.alias("buf"))
 
     def step(acc: Column, r: Column) -> Column:
         t = strip(r["text"])
         fits = (F.length(acc["buf"]["text"]) < min_chars) & (F.length(acc["buf"]["text"]) + 2 + F.length(t) <= most)
         return (
             F.when(F.coalesce(F.length(t), F.lit(0)) < hard, acc)
-            .when(~acc["open"], F.struct(acc["out"].alias("out"), F.lit(True).alias("open"), fresh(r).alias("buf")).cast(state))
-            .when(fits, F.struct(acc["out"].alias("out"), F.lit(True).alias("open"), grown(acc["buf"], t, r["locator"]).alias("buf")).cast(state))
-            .otherwise(F.struct(F.array_append(acc["out"], closed(acc["buf"])).alias("out"), F.lit(True).alias("open"), fresh(r).alias("buf")).cast(state))
+            .when(~acc["open"], next_state(acc["out"], fresh(r)))
+            .when(fits, next_state(acc["out"], grown(acc["buf"], t, r["locator"])))
+            .otherwise(next_state(F.array_append(acc["out"], closed(acc["buf"])), fresh(r)))
         )
 
     def finish(acc: Column) -> Column:
-        last, buf = F.element_at(acc["out"], -1), acc["buf"]
+        last, buf = F.try_element_at(acc["out"], F.lit(-1)), acc["buf"]
         joins = (F.size(acc["out"]) > 0) & (F.length(buf["text"]) < min_chars) & (F.length(last["text"]) + 2 + F.length(buf["text"]) <= most)
         joined = F.array_append(F.slice(acc["out"], F.lit(1), F.greatest(F.size(acc["out"]) - 1, F.lit(0))), grown(last, buf["text"], buf["locator_end"]))
         return F.when(~acc["open"], acc["out"]).when(joins, joined).otherwise(F.array_append(acc["out"], closed(buf)))

@@ -16,11 +16,11 @@ def _records(paras: Column, owner: Column, kind: Column, config: EngineConfig, c
     """array<RECORD> of the parts with the hard minimum length; part indexes of shorter ones stay consumed."""
 
     def of_para(p: Column, i: Column) -> Column:
-        chapter = F.element_at(chapters, i + 1) if chapters is not None else F.lit(None)
+        chapter = F.element_at(chapters, i + 1) if chapters is not None else F.lit(None).cast("int")
         locator = F.concat(kind, F.lit(":para"), i)
         return F.transform(
             t.split_long(p, config),
-            lambda part, j: F.struct(F.concat(owner, F.lit(":"), locator, F.lit(":part"), j).alias("chunk_id"), t.strip(part).alias("text"), locator.alias("locator"), i.alias("para_index"), j.alias("part_index"), chapter.alias("chapter_index")).cast(t.RECORD),
+            lambda part, j: F.struct(F.concat(owner, F.lit(":"), locator, F.lit(":part"), j).alias("chunk_id"), t.strip(part).alias("text"), locator.alias("locator"), i.alias("para_index"), j.alias("part_index"), chapter.alias("chapter_index")),
         )
 
     parts = F.flatten(F.transform(paras, of_para))
@@ -44,10 +44,10 @@ def chunk_text(df: DataFrame, owner: str, raw: str, kind: str, keep: list[str],
     A gibberish document gives none; the test reads the first paragraphs, or the whole text for notes.
     Null and blank texts give none."""
     df = df.withColumn("__clean", t.clean(F.col(raw)))
-    df = df.withColumn("__paras", t.paragraphs(F.col("__clean"), t.joiner(F.substring("__clean", 1, t.SAMPLE_CHARS))))
+    df = df.withColumn("__paras", t.once(t.paragraphs(F.col("__clean"), t.joiner(F.substring("__clean", 1, t.SAMPLE_CHARS)))))
     df = df.withColumn("__sample", F.col("__clean") if whole_sample else _sample(F.col("__paras"))).where((F.size("__paras") > 0) & ~t.is_gibberish(F.col("__sample")))
-    records = _records(F.col("__paras"), F.col(owner), F.lit(kind), config)
-    return _explode(df, t.merge_short(records, t.min_chunk_chars(F.col("__sample"), config), config), keep)
+    df = df.withColumn("__records", t.once(_records(F.col("__paras"), F.col(owner), F.lit(kind), config))).withColumn("__least", t.once(t.min_chunk_chars(F.col("__sample"), config)))
+    return _explode(df, t.merge_short(F.col("__records"), F.col("__least"), config), keep)
 
 
 def chunk_html(df: DataFrame, owner: str, raw: str, keep: list[str], *, config: EngineConfig = DEFAULT) -> DataFrame:

@@ -6,22 +6,24 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quire.functions.text import creators_text, strip, year_of
-from quire.schemas import ITEM_DATA
+from quire.functions.text import creators_text, once, strip, year_of
+from quire.schemas import ITEM_DATA, ITEM_FIELDS
 
-_RAW = f"key STRING, version INT, data {ITEM_DATA}"
-_FLAT = ITEM_DATA
+#: The payload's fields at the top, for flat items, and nested under ``data``.
+_RAW = f"{ITEM_DATA[:-1]}, data: {ITEM_DATA}>"
+_FIELDS = ITEM_FIELDS
 
 
 def unwrap(raw: DataFrame, column: str = "json") -> DataFrame:
     """(key, data) of items given as JSON texts, the payload nested under ``data`` or flat.
 
     Records without a key, and texts that are no JSON objects, are dropped."""
-    nested, flat = F.from_json(column, _RAW), F.from_json(column, _FLAT)
-    data = F.when(nested["data"].isNotNull(), nested["data"]).otherwise(flat)
-    out = raw.withColumn("__n", nested).withColumn("data", data).withColumn("key", F.coalesce(F.nullif(F.col("__n.key"), F.lit("")), F.col("data.key")))
-    version = F.coalesce(F.col("__n.version"), F.col("data.version")).alias("version")
-    return out.where(F.coalesce("key", F.lit("")) != "").select("key", version, "data", *(c for c in raw.columns if c not in (column, "key", "data", "version")))
+    # one parse of either form, once a row
+    parsed = raw.withColumn("__n", once(F.from_json(column, _RAW)))
+    flat = F.struct(*(F.col(f"__n.{f}").alias(f) for f in _FIELDS))
+    data = F.when(F.col("__n.data").isNotNull(), F.col("__n.data")).otherwise(flat)
+    out = parsed.withColumn("data", data).withColumn("key", F.coalesce(F.nullif(F.col("__n.key"), F.lit("")), F.col("__n.data.key"))).withColumn("version", F.coalesce(F.col("__n.version"), F.col("__n.data.version")))
+    return out.where(F.coalesce("key", F.lit("")) != "").select("key", "version", "data", *(c for c in raw.columns if c not in (column, "key", "data", "version")))
 
 
 def dedupe_last(df: DataFrame, key: str, order: str) -> DataFrame:

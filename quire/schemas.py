@@ -4,6 +4,7 @@ ITEM_DATA = (
     "STRUCT<key: STRING, itemType: STRING, title: STRING, date: STRING, dateModified: STRING, creators: ARRAY<STRUCT<lastName: STRING, firstName: STRING, name: STRING>>, "
     "collections: ARRAY<STRING>, parentItem: STRING, contentType: STRING, filename: STRING, path: STRING, note: STRING, version: INT>"
 )
+ITEM_FIELDS = ["key", "itemType", "title", "date", "dateModified", "creators", "collections", "parentItem", "contentType", "filename", "path", "note", "version"]
 ATTACHMENTS = "attachmentKey STRING NOT NULL, parentItemKey STRING, title STRING, year INT, creators ARRAY<STRING>, pdf_path STRING, source_type STRING, contentType STRING, filename STRING"
 NOTES = "noteKey STRING NOT NULL, parentItemKey STRING, note_html STRING, title STRING, year INT, creators ARRAY<STRING>, version INT"
 PDF_BLOCKS = "attachmentKey STRING, page_index INT, page_label STRING, block_no INT, x0 DOUBLE, y0 DOUBLE, y1 DOUBLE, block_type INT, text STRING"
