@@ -268,6 +268,9 @@ QUERIES = {
 _SOLID = r"regexp_replace(text, '[\s\x{0B}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]', '', 'g')"
 _LATIN = f"(length(regexp_replace({_SOLID}, '[^A-Za-z]', '', 'g')) / greatest(length({_SOLID}), 1))"
 _CJK = rf"(length(regexp_replace({_SOLID}, '[^\x{{3040}}-\x{{30FF}}\x{{3400}}-\x{{4DBF}}\x{{4E00}}-\x{{9FFF}}\x{{F900}}-\x{{FAFF}}\x{{FF66}}-\x{{FF9D}}]', '', 'g')) / greatest(length({_SOLID}), 1))"
+_GAP = r"[ \t\x0B\x0C\r\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+_ANY = _GAP.replace("[ ", "[\\n ")
+_TRIM = f"'^{_ANY}+|{_ANY}+$', '', 'g'"
 _FUSE = "SELECT {key}, round(min(distance), 6) AS distance, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS rrf_score"
 
 SQL = {
@@ -296,5 +299,8 @@ SQL = {
     "language_ratios": f"SELECT doc_id, round({_LATIN}, 6) AS latin, round({_CJK}, 6) AS cjk, ({_CJK} >= 0.2 AND {_LATIN} <= 0.4) AS no_space, CASE WHEN {_CJK} >= 0.2 AND {_LATIN} <= 0.4 THEN 60 ELSE 80 END::BIGINT AS overlap FROM documents WHERE text IS NOT NULL",
     "gibberish": rf"SELECT doc_id, coalesce(length(s) >= 50 AND (length(regexp_replace(s, '[\p{{C}}\p{{Z}}]', '', 'g')) / greatest(length(s), 1) < 0.9 OR length(regexp_replace(s, '[^\p{{L}}\p{{Nd}}]', '', 'g')) / greatest(length(s), 1) < 0.2), FALSE) AS gibberish FROM (SELECT doc_id, {_SOLID} AS s FROM documents)",
     "sentence_split": r"SELECT doc_id, count(*) AS n, sum(length(piece)) AS chars, max(length(piece)) AS longest FROM (SELECT doc_id, unnest(string_split(regexp_replace(text, '([.?!。！？])[ \t\n\r\f\x0B]+', '\1' || chr(1), 'g'), chr(1))) AS piece FROM documents WHERE text IS NOT NULL AND NOT contains(text, chr(1)) UNION ALL SELECT doc_id, unnest(string_split(regexp_replace(text, '([.?!。！？])[ \t\n\r\f\x0B]+', '\1' || chr(2) || '§' || chr(2), 'g'), chr(2) || '§' || chr(2))) AS piece FROM documents WHERE contains(text, chr(1))) WHERE piece <> '' GROUP BY doc_id",
+    "paragraphs": rf"SELECT chunk_id, len(p) AS n, md5(array_to_string(p, '¶')) AS digest FROM (SELECT chunk_id, list_filter(list_transform(string_split_regex(regexp_replace(text, '\r\n|[\r\x0B\x0C\x1C\x1D\x1E\x{{85}}\x{{2028}}\x{{2029}}]', chr(10), 'g'), '\n(?:{_GAP}*\n)+'), lambda x: regexp_replace(regexp_replace(replace(regexp_replace(regexp_replace(regexp_replace(x, {_TRIM}), '-{_GAP}*\n{_ANY}*', '', 'g'), '{_GAP}*\n{_ANY}*', chr(10), 'g'), chr(10), ' '), '{_ANY}+', ' ', 'g'), {_TRIM})), lambda x: x <> '') AS p FROM (SELECT DISTINCT chunk_id, text FROM chunks))",
+    "html_strip": r"SELECT DISTINCT noteKey, version, md5(regexp_replace(regexp_replace(replace(replace(replace(replace(regexp_replace(note_html, '(?is)<script.*?>.*?</script>|<style.*?>.*?</style>', '', 'g'), '</p>', chr(10) || chr(10)), '<br>', chr(10)), '<br/>', chr(10)), '<br />', chr(10)), '<[^>]*>', ' ', 'g'), '<[^>]*$', '')) AS digest FROM (SELECT DISTINCT noteKey, version, note_html FROM notes WHERE note_html IS NOT NULL)",
+    "repeated_prefixes": f"SELECT h.attachmentKey, h.prefix, h.n FROM (SELECT attachmentKey, prefix, count(*) AS n FROM (SELECT attachmentKey, page, trim(substr(arg_min(line, chunk_id), 1, 40)) AS prefix FROM (SELECT attachmentKey, page, chunk_id, regexp_replace(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '')[1], '{_ANY}+', ' ', 'g') AS line FROM {_PAGES}) WHERE line IS NOT NULL GROUP BY attachmentKey, page) WHERE length(prefix) BETWEEN 5 AND 40 GROUP BY ALL) h JOIN (SELECT attachmentKey, count(DISTINCT page) AS pages FROM {_LINES} GROUP BY attachmentKey) p ON h.attachmentKey = p.attachmentKey WHERE pages > 3 AND h.n >= greatest(2, floor(pages * 0.05))",
     "repeated_lines": f"SELECT l.attachmentKey, l.line, l.n FROM (SELECT attachmentKey, line, count(DISTINCT page) AS n FROM {_LINES} WHERE length(line) <= 180 GROUP BY ALL) l JOIN (SELECT attachmentKey, count(DISTINCT page) AS pages FROM {_LINES} GROUP BY attachmentKey) p ON l.attachmentKey = p.attachmentKey WHERE pages > 3 AND n >= greatest(2, floor(pages * 0.05))",
 }
