@@ -34,8 +34,9 @@ from quire.runtime import checkpointed, ship
 #: Greatest numbers of rows that the classifier is fitted on: body texts, titles, blocks of the pages.
 BODY_ROWS, TITLE_ROWS, PAGE_ROWS = 3_000, 1_000, 4_000
 BUCKETS, SURE = 1 << 15, 0.97
-#: Parent-child potentials: probability that a section is of the page's kind, that a block is of its section's.
-PAGE_SECTION, SECTION_BLOCK = 0.55, 0.60
+#: Parent-child potentials before training: probability that a section is of the page's kind, that a block is of
+#: its section's; and the range within which training may set them.
+PAGE_SECTION, SECTION_BLOCK, LEAST_TIE, MOST_TIE = 0.55, 0.60, 0.50, 0.90
 
 # Hand-labelled furniture; {t} stands for a title, {s} a site, {p} a place, {n} a number, {d} a date.
 FURNITURE = {
@@ -128,6 +129,7 @@ class Classifier:
 
     def __init__(self) -> None:
         self.words, self.shapes, self.bias = np.zeros(BUCKETS), np.zeros(SHAPES), 0.0
+        self.ties = (PAGE_SECTION, SECTION_BLOCK)
 
     def logits(self, blocks: list[str]) -> np.ndarray:
         if not blocks:
@@ -190,8 +192,31 @@ def split_blocks(text: str) -> list[str]:
     return text.split("\n\n")
 
 
-def fit_on_labelled(titles: list[str], body: list[str], pages: list[str]) -> Classifier:
-    """First on the labelled furniture, titles and body texts; then with the surest blocks of the pages as well."""
+def fit_ties(sections: list[tuple[str, list[float]]]) -> tuple[float, float]:
+    """(page-section, section-block) potentials from labelled sections (page, probabilities of the blocks): how
+    often a block is of the kind of most other blocks of its section, and a section of that of most other
+    sections of its page, with one hit and one miss added to each."""
+    hits, tries = np.ones(2), np.full(2, 2.0)
+    pages: dict[str, list[float]] = {}
+    for page, probabilities in sections:
+        marks = np.sign(np.array(probabilities) - 0.5)
+        rest = marks.sum() - marks
+        hits[1] += ((rest * marks) > 0).sum() + 0.5 * (rest == 0).sum() if len(marks) > 1 else 0.0
+        tries[1] += len(marks) if len(marks) > 1 else 0
+        pages.setdefault(page, []).append(float(np.sign(marks.sum())))
+    for kinds in pages.values():
+        k = np.array(kinds)
+        rest = k.sum() - k
+        if len(k) > 1:
+            hits[0] += ((rest * k) > 0).sum() + 0.5 * ((rest * k) == 0).sum()
+            tries[0] += len(k)
+    page, section = np.clip(hits / tries, LEAST_TIE, MOST_TIE)
+    return float(page), float(section)
+
+
+def fit_on_labelled(titles: list[str], body: list[str], pages: list[str], keys: list[str] | None = None) -> Classifier:
+    """First on the labelled furniture, titles and body texts; then with the surest blocks of the pages as well;
+    last the potentials between parents and children, on the pages as then labelled."""
     rng = random.Random(11)
     furniture = labelled_furniture(titles)
     prose = [b for t in body for b in split_blocks(t) if b.strip()]
@@ -206,7 +231,12 @@ def fit_on_labelled(titles: list[str], body: list[str], pages: list[str]) -> Cla
         return first
     p = 1 / (1 + np.exp(-first.logits(seen)))
     more = [(b, q > 0.5) for b, q in zip(seen, p.tolist()) if q > SURE or q < 1 - SURE]
-    return Classifier().fit(blocks + [b for b, _ in more], np.concatenate((y, [int(v) for _, v in more])))
+    final = Classifier().fit(blocks + [b for b, _ in more], np.concatenate((y, [int(v) for _, v in more])))
+    per = [[b for b in split_blocks(t) if b.strip()] for t in pages]
+    q = 1 / (1 + np.exp(-final.logits([b for bs in per for b in bs])))
+    ends = np.cumsum([len(bs) for bs in per])
+    final.ties = fit_ties([(key, q[end - len(bs) : end].tolist()) for key, bs, end in zip(keys or map(str, range(len(pages))), per, ends)])
+    return final
 
 
 # --- sum-product on the tree ----------------------------------------------------------------------------
@@ -218,25 +248,26 @@ def _mix(a: Column, b: Column, keep: float) -> Column:
     return top + F.log(F.lit(keep) * F.exp(a - top) + F.lit(1 - keep) * F.exp(b - top))
 
 
-def marginals(sections: DataFrame, page: str, section: str) -> DataFrame:
+def marginals(sections: DataFrame, page: str, section: str, ties: tuple[float, float] = (PAGE_SECTION, SECTION_BLOCK)) -> DataFrame:
     """(section, block_no, body) with the marginal probability of each block, from (page, section, logits).
 
     logits holds a block's log odds of being body.  Upward: every block sends its section the
     message log sum over its own states; a section sends the page the like; the page adds them up.
     Downward: the page without the section's own message, then the section without the block's."""
+    page_tie, block_tie = ties
     odds = F.col("logits")
     # messages of the blocks for the section states body and furniture; a block's own evidence is (logit, 0)
-    for_body = F.transform(odds, lambda u: _mix(u, F.lit(0.0), SECTION_BLOCK))
-    for_rest = F.transform(odds, lambda u: _mix(F.lit(0.0), u, SECTION_BLOCK))
+    for_body = F.transform(odds, lambda u: _mix(u, F.lit(0.0), block_tie))
+    for_rest = F.transform(odds, lambda u: _mix(F.lit(0.0), u, block_tie))
     total = lambda c: F.aggregate(c, F.lit(0.0), lambda a, x: a + x)
-    up = checkpointed(sections.withColumn("mb", for_body).withColumn("mf", for_rest).withColumn("sb", total(F.col("mb"))).withColumn("sf", total(F.col("mf"))).withColumn("pb", _mix(F.col("sb"), F.col("sf"), PAGE_SECTION)).withColumn("pf", _mix(F.col("sf"), F.col("sb"), PAGE_SECTION)))
+    up = checkpointed(sections.withColumn("mb", for_body).withColumn("mf", for_rest).withColumn("sb", total(F.col("mb"))).withColumn("sf", total(F.col("mf"))).withColumn("pb", _mix(F.col("sb"), F.col("sf"), page_tie)).withColumn("pf", _mix(F.col("sf"), F.col("sb"), page_tie)))
     # the messages to a page are summed partly before the shuffle
     pages = up.groupBy(page).agg(F.sum("pb").alias("page_b"), F.sum("pf").alias("page_f"))
     down = up.join(pages, page).withColumn("ob", F.col("page_b") - F.col("pb")).withColumn("of", F.col("page_f") - F.col("pf"))
-    down = down.withColumn("db", _mix(F.col("ob"), F.col("of"), PAGE_SECTION)).withColumn("df", _mix(F.col("of"), F.col("ob"), PAGE_SECTION))
+    down = down.withColumn("db", _mix(F.col("ob"), F.col("of"), page_tie)).withColumn("df", _mix(F.col("of"), F.col("ob"), page_tie))
     blocks = down.select(section, "db", "df", "sb", "sf", F.posexplode(F.arrays_zip("logits", "mb", "mf")).alias("block_no", "m"))
     own_b, own_f = F.col("db") + F.col("sb") - F.col("m.mb"), F.col("df") + F.col("sf") - F.col("m.mf")
-    score = F.col("m.logits") + _mix(own_b, own_f, SECTION_BLOCK) - _mix(own_f, own_b, SECTION_BLOCK)
+    score = F.col("m.logits") + _mix(own_b, own_f, block_tie) - _mix(own_f, own_b, block_tie)
     return blocks.select(section, "block_no", (1 / (1 + F.exp(-score))).alias("body"))
 
 
@@ -258,7 +289,7 @@ def judged(chunks: DataFrame, model: Classifier, *, page: str = "attachmentKey",
 
     key = F.coalesce(F.col(page), F.substring_index(F.col(section), ":", 1)).alias(page)
     kept = chunks.where(F.col(text).isNotNull()).select(key, section, text)
-    return marginals(kept.mapInArrow(run, schema).dropDuplicates([section]), page, section)
+    return marginals(kept.mapInArrow(run, schema).dropDuplicates([section]), page, section, model.ties)
 
 
 def trained(chunks: DataFrame) -> Classifier:
@@ -268,5 +299,8 @@ def trained(chunks: DataFrame) -> Classifier:
     # sentences of sources without furniture; scans bring running headers, so notes and books only
     body = picked(chunks.where(F.col("chunk_id").rlike(":(epub|note):") & F.col("text").isNotNull() & (F.length("text") < 3000)).select(F.col("text").alias("v")), BODY_ROWS)
     titles = picked(chunks.where(is_page & F.col("title").isNotNull()).select(F.col("title").alias("v")).distinct(), TITLE_ROWS)
-    pages = picked(chunks.where(is_page & F.col("text").isNotNull() & (F.length("text") < 5000)).select(F.col("text").alias("v")), PAGE_ROWS)
-    return fit_on_labelled(sorted(titles), sorted(body), sorted(pages))
+    # whole pages, so that the ties between sections can be counted
+    of_page = F.substring_index("chunk_id", ":", 1)
+    sampled = chunks.where(is_page & F.col("text").isNotNull() & (F.length("text") < 5000) & (F.pmod(F.xxhash64(of_page), F.lit(4)) == 0)).select(of_page.alias("k"), F.col("text").alias("v")).limit(PAGE_ROWS)
+    rows = sorted(set(map(tuple, sampled.collect())))
+    return fit_on_labelled(sorted(titles), sorted(body), [v for _, v in rows], [k for k, _ in rows])

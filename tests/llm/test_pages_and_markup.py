@@ -54,6 +54,14 @@ def test_sum_product_against_all_states(spark):
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
 
 
+def test_ties_are_counted():
+    page, section = b.fit_ties([("p", [0.9, 0.9, 0.9, 0.9]), ("p", [0.8, 0.9, 0.7]), ("q", [0.1, 0.1, 0.2]), ("q", [0.2])] * 20)
+    assert section == b.MOST_TIE and page == b.MOST_TIE
+    page, section = b.fit_ties([("p", [0.9, 0.1])] * 50)
+    assert section == b.LEAST_TIE
+    assert b.fit_ties([]) == (0.5, 0.5)
+
+
 def test_blocks_of_tables(spark, classifier):
     rows = [("A:html:para0:part0", "A", f"Home | News | Shop | Contact\n\n{PROSE[0]}", 1), ("A:html:para0:part0", "A", f"Home | News | Shop | Contact\n\n{PROSE[0]}", 2), ("B:html:para0:part0", None, PROSE[1], 3), ("C:html:para0:part0", "C", None, 4), ("D:html:para0:part0", "D", "", 5)]
     df = spark.createDataFrame(rows, "chunk_id string, attachmentKey string, text string, body int")
