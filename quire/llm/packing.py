@@ -14,6 +14,7 @@ Defined results: a document without tokens (null, empty) takes no space and has
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections import defaultdict
 
 import numpy as np
@@ -82,6 +83,21 @@ def fit(patterns: list[tuple[int, ...]], sizes: np.ndarray, counts: np.ndarray,
     return x
 
 
+def _filled(first: int, left: dict[int, int], capacity: int) -> tuple[tuple[int, ...], int]:
+    """A container that begins with a length and takes the largest lengths left that fit; and its unused space."""
+    pattern, rest = [first], capacity - first
+    order = sorted(left, reverse=True)
+    i = bisect_left(order, -rest, key=lambda x: -x)
+    while i < len(order):
+        s = order[i]
+        n = min(rest // s, left[s] - pattern.count(s))
+        if n > 0:
+            pattern += [s] * n
+            rest -= n * s
+        i = max(i + 1, bisect_left(order, -rest, key=lambda x: -x))
+    return tuple(pattern), rest
+
+
 def plan(histogram: list[tuple[int, int]], capacity: int) -> list[tuple[int, int, int, int]]:
     """Runs (size, first ordinal, last ordinal, container of the first) for lengths 1..capacity."""
     left = {int(s): int(n) for s, n in histogram if 0 < s <= capacity and n > 0}
@@ -105,26 +121,24 @@ def plan(histogram: list[tuple[int, int]], capacity: int) -> list[tuple[int, int
                 del left[s]
         containers += times
 
-    for j in sorted(range(len(patterns)), key=lambda j: (capacity - sum(patterns[j]), -wanted[j], patterns[j])):
-        times = int(wanted[j] + 1e-9)
-        for s in set(patterns[j]):
-            times = min(times, left.get(s, 0) // patterns[j].count(s))
-        if times:
-            use(patterns[j], times)
-    # residual: the largest length left, filled with the largest that fit, as often as the counts allow
-    while left:
-        order = sorted(left, reverse=True)
-        pattern, rest, i = [], capacity, 0
-        taken: defaultdict[int, int] = defaultdict(int)
-        while i < len(order):
-            s = order[i]
-            if s <= rest and taken[s] < left[s]:
-                pattern.append(s)
-                taken[s] += 1
-                rest -= s
-            else:
-                i += 1
-        use(tuple(pattern), max(1, min(left[s] // n for s, n in taken.items())))
+    # by the largest length, since what is over half a container can share it only with small ones: first the
+    # fitted patterns, rounded down, then what is left of this length, filled as well as the histogram allows
+    by_largest: defaultdict[int, list[int]] = defaultdict(list)
+    for j, p in enumerate(patterns):
+        by_largest[p[0]].append(j)
+
+    def possible(p: tuple[int, ...]) -> int:
+        return min(left.get(s, 0) // p.count(s) for s in set(p))
+
+    for s in sorted(left, reverse=True):
+        own = sorted(by_largest[s], key=lambda j: (capacity - sum(patterns[j]), -wanted[j], patterns[j]))
+        for j in own:
+            if times := min(int(wanted[j] + 1e-9), possible(patterns[j])):
+                use(patterns[j], times)
+        while s in left:
+            pattern, rest = _filled(s, left, capacity)
+            best = next((patterns[j] for j in own if capacity - sum(patterns[j]) < rest and possible(patterns[j])), pattern)
+            use(best, max(1, possible(best)))
     return runs
 
 
