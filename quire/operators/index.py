@@ -99,5 +99,25 @@ class Collection:
         """Rows by id: a semi-join, so Spark broadcasts the ids only below its threshold."""
         return self.read().join(ids.select("chunk_id").distinct(), "chunk_id", "left_semi").select("chunk_id", *columns)
 
+    def save_config(self, config: dict) -> None:
+        """What embedded the collection, as JSON beside it: written aside and renamed."""
+        self._fs.mkdirs(self._path(self.path))
+        part, final = self._path(f"{self.path}/_config.json.part"), self._path(f"{self.path}/_config.json")
+        out = self._fs.create(part, True)
+        out.write(bytearray(json.dumps(config), "utf-8"))
+        out.close()
+        self._fs.delete(final, False)
+        if not self._fs.rename(part, final):
+            raise RuntimeError(f"{self.path}/_config.json could not be written")
+
+    def load_config(self) -> dict | None:
+        at = self._path(f"{self.path}/_config.json")
+        if not self._fs.exists(at):
+            return None
+        stream = self._fs.open(at)
+        text = self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        stream.close()
+        return json.loads(text)
+
     def rebuild(self) -> None:
         self._fs.delete(self._path(self.path), True)

@@ -78,6 +78,10 @@ def test_collection_versions(spark, tmp_path):
     wrong.write(rows.withColumn("embedding", F.array(F.lit(1.0).cast("float"))))
     with pytest.raises(ValueError):
         wrong.read()
+    assert c.load_config() is None
+    for dim in (2, 3):
+        c.save_config({"embedder": "hashing", "dim": dim})
+    assert c.load_config() == {"embedder": "hashing", "dim": 3}
     c.rebuild()
     assert not c.exists()
 
@@ -104,3 +108,20 @@ def test_files_that_give_nothing_stay(spark, tmp_path):
     assert two["counters"]["failed"] == 1
     assert {r.text for r in e.collection.read().collect()} == {"new a", "old b"}
     assert {(r.attachmentKey, r.mtime) for r in two["manifest"].collect()} == {("a", 2.0), ("b", 1.0)}
+
+
+def test_json_manifests_are_imported(spark, tmp_path):
+    import json
+
+    from quire.sources import manifest
+
+    path = tmp_path / "m.json"
+    assert manifest.read_json(str(path)) == {"files": {}, "notes": {}}
+    for text in ("", "[]", "{}"):
+        path.write_text(text)
+        assert [d.count() for d in manifest.import_manifest(spark, str(path))] == [0, 0]
+    path.write_text("{broken")
+    assert manifest.read_json(str(path)) == {"files": {}, "notes": {}} and not path.exists() and (tmp_path / "m.json.bak").exists()
+    path.write_text(json.dumps({"files": {"a": {"mtime": 1, "size": 2, "pdf_path": "/x"}, "b": None}, "notes": {"n": {"version": 3}}, "version": 1}))
+    files, notes = manifest.import_manifest(spark, str(path))
+    assert {tuple(r) for r in files.collect()} == {("a", 1.0, 2, "/x"), ("b", None, None, None)} and [tuple(r) for r in notes.collect()] == [("n", 3)]
