@@ -14,9 +14,9 @@ from quire.runtime import table
 FILTER = {"$and": [{"source_type": {"$in": ["pdf", "html"]}}, {"$or": [{"year": {"$gte": 1990}}, {"itemKey": {"$eq": None}}]}, {"$not": {"page": 3}}]}
 
 
-def _chunks(spark: SparkSession, d: str) -> DataFrame:
-    """One row per chunk id: its latest."""
-    return items.dedupe_last(table(spark, d, "chunks"), "chunk_id", "indexed_at").drop("first_seen")
+def _chunks(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+    """One row per chunk id, its latest, with the columns named: others are not read."""
+    return items.dedupe_last(table(spark, d, "chunks").select("chunk_id", "indexed_at", *columns), "chunk_id", "indexed_at").drop("first_seen")
 
 
 _CHUNKS = "(SELECT * EXCLUDE rn FROM (SELECT *, row_number() OVER (PARTITION BY chunk_id ORDER BY indexed_at DESC NULLS LAST) AS rn FROM chunks WHERE chunk_id IS NOT NULL) WHERE rn = 1)"
@@ -64,16 +64,16 @@ def exclude_and_include(spark: SparkSession, d: str) -> DataFrame:
 
 
 def search_where(spark: SparkSession, d: str) -> DataFrame:
-    return _chunks(spark, d).where(where.compile_where(FILTER)).select("chunk_id", "source_type", "year", "page")
+    return _chunks(spark, d, "source_type", "year", "page", "itemKey").where(where.compile_where(FILTER)).select("chunk_id", "source_type", "year", "page")
 
 
 def note_exclusion(spark: SparkSession, d: str) -> DataFrame:
-    kept = _chunks(spark, d).where(where.compile_where(where.effective({"year": {"$lt": 2000}})))
+    kept = _chunks(spark, d, "source_type", "year").where(where.compile_where(where.effective({"year": {"$lt": 2000}})))
     return kept.groupBy("source_type").agg(F.count("*").alias("n"))
 
 
 def min_return_chars(spark: SparkSession, d: str) -> DataFrame:
-    kept = _chunks(spark, d).where(F.length(t.strip(F.col("text"))) >= 200)
+    kept = _chunks(spark, d, "source_type", "text").where(F.length(t.strip(F.col("text"))) >= 200)
     return kept.groupBy("source_type").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"))
 
 
@@ -82,7 +82,7 @@ def chunk_id_parse(spark: SparkSession, d: str) -> DataFrame:
 
 
 def citation(spark: SparkSession, d: str) -> DataFrame:
-    return _chunks(spark, d).select("chunk_id", items.citation(F.col("title"), F.col("year"), F.col("page"), F.col("page_label")).alias("citation"))
+    return _chunks(spark, d, "title", "year", "page", "page_label").select("chunk_id", items.citation(F.col("title"), F.col("year"), F.col("page"), F.col("page_label")).alias("citation"))
 
 
 _CITE = """CASE WHEN coalesce(title, '') = '' THEN ''
@@ -92,12 +92,12 @@ _CITE = """CASE WHEN coalesce(title, '') = '' THEN ''
 
 def context_window(spark: SparkSession, d: str) -> DataFrame:
     """Around every chunk, two paragraphs each way."""
-    chunks = _chunks(spark, d)
+    chunks = _chunks(spark, d, "text", "title", "year", "page", "page_label")
     return context.neighbours(chunks, chunks, 2).select("hit", "id", "para_index")
 
 
 def context_text(spark: SparkSession, d: str) -> DataFrame:
-    chunks = _chunks(spark, d)
+    chunks = _chunks(spark, d, "text", "title", "year", "page", "page_label")
     texts = context.context_texts(chunks, chunks, 2)
     return texts.select("hit", F.length("context_text").cast("long").alias("chars"), F.md5("context_text").alias("digest"), F.size("chunk_ids_included").cast("long").alias("n"))
 
@@ -179,7 +179,7 @@ def replace_owner(spark: SparkSession, d: str) -> DataFrame:
     plan = index_plan(spark, d)
     fresh = plan.where("action = 'update'").select(F.concat("attachmentKey", F.lit(":html:para0:part0")).alias("chunk_id"), F.col("attachmentKey").alias("owner_key"), F.lit("new").alias("text"))
     gone = plan.where("action = 'delete'").select(F.col("attachmentKey").alias("owner_key"))
-    return index.replace_owners(_chunks(spark, d).select("chunk_id", "owner_key", F.lit("old").alias("text")), fresh, gone)
+    return index.replace_owners(_chunks(spark, d, "owner_key").select("chunk_id", "owner_key", F.lit("old").alias("text")), fresh, gone)
 
 
 # --- text --------------------------------------------------------------------------------------------------
