@@ -2,7 +2,8 @@
 
 A name is parsed into full tokens (folded, titles and particles dropped, familiar given names replaced
 by formal ones) and abbreviations.  Full names are blocked by the phonetic codes of their sorted
-tokens, one of which may lack a sound, and by their letters, one of which may be missing; candidates in a block are compared by Jaro-Winkler and edit
+tokens, one of which may lack a sound, and by their letters, one of which may be missing; overfull blocks
+by sound are subdivided by all that an accepted pair must share; candidates in a block are compared by Jaro-Winkler and edit
 distance of the aligned tokens; connected components of the accepted pairs are the people and
 bodies.  Abbreviated names ("Doe, J.", "ABC Town") then join the one component they can stand for;
 an abbreviation that two components could stand behind stays apart.
@@ -26,7 +27,7 @@ from pyspark.sql import types as T
 from quire.llm.components import connected_components
 from quire.runtime import checkpointed, ship
 
-#: Least Jaro-Winkler similarity of aligned tokens; blocks by sound above this many names are left to those by letters.
+#: Least Jaro-Winkler similarity of aligned tokens; blocks by sound above this many names are subdivided.
 LEAST_SIMILARITY, HOT_BLOCK = 0.85, 500
 
 # Familiar forms of given names in general use, beside those of the table given.
@@ -201,6 +202,25 @@ def _letter_blocks(kind: str, tokens: list[str]) -> list[str]:
     return sorted(out)
 
 
+def _inner_blocks(kind: str, tokens: list[str], blocks: list[str]) -> list[str]:
+    """Parts of overfull ``blocks`` by sound, such that every pair ``same_name`` accepts there and that no
+    block by letters holds shares one: one token sounds the same at equal length, or two tokens sound the
+    same a letter apart, and the others are equal."""
+    codes, n, out = [sound(t) for t in tokens], len(tokens), set()
+    for i in range(n):
+        others = " ".join(sorted({*tokens[:i], *tokens[i + 1 :]}))
+        out.add(f"{kind}={others}|{codes[i]}|{len(tokens[i])}")
+        if len(set(tokens)) < n:  # a name with a token twice may lack it once
+            out |= {f"{b}={others}|{v}" for b in blocks for v in shortened(tokens[i])}
+        for j in range(i + 1, n):
+            others = " ".join(sorted({*tokens[:i], *tokens[i + 1 : j], *tokens[j + 1 :]}))
+            first, second = ([f"{c}/{v}" for v in shortened(t)] for c, t in ((codes[i], tokens[i]), (codes[j], tokens[j])))
+            out |= {f"{kind}={others}|" + "|".join(sorted((u, v))) for u in first for v in second}
+    if len(set(tokens)) < n:
+        out |= {f"{b}={' '.join(sorted(set(tokens)))}" for b in blocks}
+    return sorted(out)
+
+
 def same_name(a: str, b: str, least: float = LEAST_SIMILARITY) -> bool:
     """Tokens, aligned by sound and spelling, all similar: one letter apart in all, or sounding the same."""
     x, y = a.split("\t"), b.split("\t")
@@ -242,11 +262,21 @@ def accepted_pairs(nodes: DataFrame) -> DataFrame:
 
         return df.select("key", "kind", "tokens").mapInPandas(run, "key string, block string")
 
+    def divided(df: DataFrame) -> DataFrame:
+        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for f in frames:
+                rows = [(k, b) for k, kind, t, hot in zip(f["key"], f["kind"], f["tokens"], f["hot"]) for b in _inner_blocks(kind, list(t), list(hot))]
+                yield pd.DataFrame(rows, columns=["key", "block"])
+
+        return df.select("key", "kind", "tokens", "hot").mapInPandas(run, "key string, block string")
+
     by_sound = checkpointed(keyed(_blocks, nodes))
-    usual = by_sound.join(by_sound.groupBy("block").count().where(F.col("count").between(2, HOT_BLOCK)).select("block"), "block")
+    sizes = checkpointed(by_sound.groupBy("block").count().where("count > 1"))
+    usual = by_sound.join(sizes.where(F.col("count") <= HOT_BLOCK).select("block"), "block")
+    hot = by_sound.join(sizes.where(F.col("count") > HOT_BLOCK).select("block"), "block").groupBy("key").agg(F.collect_list("block").alias("hot"))
     # every name is blocked by its letters, too: exact for one edit, however full the blocks by sound are,
     # and small by construction, since the names of a block differ in one letter of one token
-    blocks = usual.unionByName(keyed(_letter_blocks, nodes).select("block", "key"))
+    blocks = usual.unionByName(keyed(_letter_blocks, nodes).select("block", "key")).unionByName(divided(nodes.join(hot, "key")).select("block", "key"))
     left, right = blocks.select("block", F.col("key").alias("a")), blocks.select("block", F.col("key").alias("b"))
     pairs = left.join(right, "block").where("a < b").select("a", "b").distinct()
 

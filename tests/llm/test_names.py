@@ -52,6 +52,15 @@ def test_overfull_blocks_are_blocked_by_letters(spark, monkeypatch):
     assert out["Tarlen, Walter"] == out["Tarlem, Walter"] != out["Torlan, Walter"]
 
 
+def test_overfull_blocks_lose_no_pair(spark, monkeypatch):
+    written = ["Torvalen, Kenneth", "Torvelen, Kennath", "Montgameriston, Walter", "Montgomereston, Walter", "Brisk, Robert", "Brisk Brisk, Robert", "Brisk, Robert Robert", "Brysk, Robert Robert", "Tarlen, Patrick", "Torlan, Patrick"]
+    nodes = names.parsed(spark.createDataFrame([(n,) for n in written], "name string"), {}).select("key", "kind", "tokens").distinct()
+    whole = {tuple(r) for r in names.accepted_pairs(nodes).collect()}
+    monkeypatch.setattr(names, "HOT_BLOCK", 1)
+    assert {tuple(r) for r in names.accepted_pairs(nodes).collect()} == whole
+    assert {("person\tkennath\ttorvelen", "person\tkenneth\ttorvalen"), ("person\tmontgameriston\twalter", "person\tmontgomereston\twalter")} <= whole
+
+
 def test_jaro_winkler():
     assert names.jaro_winkler("martha", "marhta") == pytest.approx(0.9611, abs=1e-4)
     assert names.jaro_winkler("dwayne", "duane") == pytest.approx(0.84, abs=1e-2)
