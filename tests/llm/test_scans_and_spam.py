@@ -52,6 +52,24 @@ def test_repair_gives_continuous_paragraphs(lexicon):
     assert s.repair("the warden", lexicon)[0] == "the warden" and s.repair("", lexicon)[0] == ""
 
 
+def test_headers_in_undone_lines_end_where_the_body_goes_on(lexicon):
+    title = "Reed and survey: notes on the gull colony"
+    body = "The warden kept the list in that year which was found again before reform."
+    for head in ("Reed and survey: notes on", "Reed and survey: notes on t", "Reed and survey: n0tes", "Reed and survey: notes on the gull colony"):
+        assert s.repair(f"{head} {body}", lexicon, title)[0] == body, head
+    assert s.repair(f"Reed and survey: notes {body.lower()}", lexicon, title)[0] == body.lower()
+    for after in ("    157 ", " [157] "):
+        assert s.repair(f"kept the Chapter 12. On the reed be{after}list in that year which was", lexicon, page=157)[0].endswith("list in that year which was")
+    assert s.repair("kept the Chapter 2. A reed survey under dry con list in that year", lexicon, width=27)[0] == "kept the list in that year"
+    assert s.repair("Chapter 2. A reed survey The warden kept the list in that year", lexicon)[0] == "The warden kept the list in that year"
+
+
+def test_header_width_is_read_from_the_lines(spark):
+    rows = [(f"A:p{i}:para0:part0", f"Chapter {i}. On the reed beds of Torf{end}\nthe list") for i, end in enumerate(["", "  12", " [12]"], 1)]
+    assert s.header_width(spark.createDataFrame([*rows, ("B:p1:para0:part0", "Chapter 4. Reed\nthe list")], "chunk_id string, text string")) == 24
+    assert s.header_width(spark.createDataFrame([("B:p1:para0:part0", "the list")], "chunk_id string, text string")) is None
+
+
 def test_paragraph_boundaries():
     lines = ["The warden kept the list of that year and of the", "year before it, which was long.", "A second paragraph starts here and runs on to the", "margin of the page, as they do."]
     assert [len(x) for x in s.paragraphs(lines)] == [2, 2]
