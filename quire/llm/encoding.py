@@ -13,15 +13,18 @@ get equal results; an empty corpus gives an empty model, under which only strict
 
 from __future__ import annotations
 
+import math
 import re
 import unicodedata
+import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -33,8 +36,8 @@ CHAINS = (
     ("cp1252", "cp1251"), ("cp1251", "cp1252"), ("cp1251", "latin-1"), ("koi8-r", "cp1251"), ("cp1251", "koi8-r"), ("koi8-r", "cp1252"), ("koi8-r", "latin-1"), ("cp866", "cp1251"), ("cp1251", "cp866"), ("cp866", "cp1252"), ("gbk", "cp1252"), ("gbk", "latin-1"), ("big5", "cp1252"), ("cp932", "cp1252"), ("cp932", "latin-1"), ("euc_jp", "cp1252"), ("euc_jp", "latin-1"), ("euc_kr", "cp1252"),
     ("gbk", "cp932"), ("cp932", "gbk"), ("big5", "gbk"), ("gbk", "big5"), ("gbk", "cp1251"), ("cp1250", "cp1252"), ("cp1252", "cp1250"), ("iso8859-2", "latin-1"), ("iso8859-2", "cp1252"), ("cp1250", "latin-1"), ("cp1250", "cp1251"), ("mac_roman", "cp1252"), ("cp1252", "mac_roman"), ("cp1252", "cp437"), ("cp437", "cp1252"), ("cp1252", "cp850"), ("cp850", "cp1252"), ("cp1252", "koi8-r"), ("cp1252", "cp866"), ("cp1252", "gbk"), ("cp1252", "iso8859-2"),
 )
-#: Bigrams the model keeps (the most frequent), and the greatest number of held-out records for the margin.
-MODEL_BIGRAMS, VALIDATION_ROWS = 400_000, 1_200
+#: Bigrams the model keeps (the most frequent), and one in how many records, by a hash of the text, is held out for the margin.
+MODEL_BIGRAMS, HELD_OUT = 400_000, 16
 #: Least margin in nats, and the share of held-out clean records that it may touch at most.
 LEAST_MARGIN, FALSE_SHARE = 8.0, 0.0005
 #: Nats in favour of garbling for each sign that a reader replaced because it could not decode it.
@@ -454,25 +457,84 @@ def garble(text: str, written: str, read: str) -> str | None:
         return None
 
 
+def _is_clean(text: str) -> bool:
+    return not text.isascii() and not _garbled_marks(_codes([text]), *_flags())
+
+
+def _clean_evidence(text: str, model: CharModel) -> float:
+    return max(evidence(readings(text, model), text))
+
+
+def _broken_evidence(word: str, model: CharModel) -> float | None:
+    """The evidence in a word garbled by one of the four commonest chains, if that changes it."""
+    g = garble(word, *CHAINS[zlib.crc32(word.encode("utf-8", "surrogatepass")) % 4])
+    return max(evidence(readings(g, model), g)) if g and g != word else None
+
+
+def margin_of(clean: dict[float, int], broken: dict[float, int], least: float, share: float) -> float:
+    """The margin from counts of the evidence in clean texts and in garbled words: at most ``share`` of the clean
+    texts may lie above it, but it must not exceed what nine in ten garbled words show."""
+    n = sum(clean.values())
+    if not n:
+        return least
+
+    def ranked(counts: dict[float, int], rank: int) -> float:
+        for value in sorted(counts):
+            rank -= counts[value]
+            if rank < 0:
+                return value
+        return math.inf
+
+    floor = ranked(clean, n - 1 - int(share * n))
+    return float(max(least, min(floor + 1.0, ranked(broken, sum(broken.values()) // 10))))
+
+
 def validated_margin(texts: list[str], model: CharModel, *, least: float = LEAST_MARGIN, share: float = FALSE_SHARE) -> float:
     """A margin above the evidence found in all but ``share`` of the clean texts, but below that in nearly all garbled ones."""
-    flags, classes = _flags()
-    clean = [t for t in texts if not t.isascii() and not _garbled_marks(_codes([t]), flags, classes)]
-    if not clean:
-        return least
-    false = np.sort([max(evidence(readings(t, model), t)) for t in clean])
-    floor = false[min(len(false) - 1, int(np.ceil((1 - share) * len(false))))]
-    # texts with several words outside ASCII; a margin must not exceed what one such word shows
-    words = list(dict.fromkeys(w for t in clean for w in _TOKEN.findall(t)))[:400]
-    broken = [g for i, w in enumerate(words) if (g := garble(w, *CHAINS[i % 4])) and g != w]
-    true = np.sort([max(evidence(readings(g, model), g)) for g in broken]) if broken else np.array([np.inf])
-    return float(max(least, min(floor + 1.0, true[len(true) // 10])))
+    clean = [t for t in texts if _is_clean(t)]
+    words = {w for t in clean for w in _TOKEN.findall(t)}
+    broken = Counter(g for w in words if (g := _broken_evidence(w, model)) is not None)
+    return margin_of(Counter(_clean_evidence(t, model) for t in clean), broken, least, share)
+
+
+def held_out(text: str) -> Column:
+    """Whether a record is kept out of training, the same for equal texts wherever they lie."""
+    return F.pmod(F.xxhash64(text), F.lit(HELD_OUT)) == 0
+
+
+def distributed_margin(held: DataFrame, text: str, model: CharModel, *, least: float = LEAST_MARGIN, share: float = FALSE_SHARE) -> float:
+    """``validated_margin`` of all texts of ``held``; only counts by evidence, in hundredths of a nat, reach the driver."""
+    spark = held.sparkSession
+    ship(spark)
+    packed = spark.sparkContext.broadcast(model.packed())
+
+    def judged(of, keep):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            own = CharModel(*packed.value)
+            for batch in batches:
+                found = (of(t, own) for t in batch.column(0).to_pylist() if keep(t))
+                counts = Counter(math.ceil(100 * e) for e in found if e is not None)
+                yield pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.int64()), pa.array(counts.values(), pa.int64())], names=["at", "n"])
+
+        return run
+
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array({w for t in batch.column(0).to_pylist() if _is_clean(t) for w in _TOKEN.findall(t)}, pa.string())], names=["word"])
+
+    def counted(df: DataFrame, run) -> dict[float, int]:
+        rows = df.mapInArrow(run, "at bigint, n bigint").groupBy("at").agg(F.sum("n").alias("n")).collect()
+        return {r["at"] / 100: r["n"] for r in rows}
+
+    texts = held.where(F.col(text).rlike(r"[^\x00-\x7f]")).select(text)
+    distinct = texts.mapInArrow(words, "word string").distinct()
+    return margin_of(counted(texts, judged(_clean_evidence, _is_clean)), counted(distinct, judged(_broken_evidence, bool)), least, share)
 
 
 def trained(records: DataFrame, text: str) -> tuple[CharModel, float]:
-    model = train(records, text)
-    held = records.where(F.length(text).between(1, 4000) & (F.pmod(F.xxhash64(text), F.lit(16)) == 0)).select(text).limit(VALIDATION_ROWS)
-    return model, validated_margin([r[0] for r in held.collect()], model)
+    """The model, and the margin on all the records that training did not see."""
+    model = train(records.where(~held_out(text)), text)
+    return model, distributed_margin(records.where(held_out(text)), text, model)
 
 
 def repaired(records: DataFrame, key: list[str], text: str, model: CharModel, margin: float, *, only_keys: bool = False) -> DataFrame:

@@ -55,6 +55,18 @@ def test_margin_lies_between(model):
     assert e.validated_margin([], model) == e.LEAST_MARGIN
 
 
+def test_margin_rests_on_all_held_out_texts(spark, model):
+    assert e.margin_of({0.0: 1999, 50.0: 1}, {60.0: 9}, 8.0, 0.0005) == 8.0  # one text in 2,000 may lie above it
+    assert e.margin_of({0.0: 1998, 12.0: 2}, {60.0: 9}, 8.0, 0.0005) == 13.0
+    held = [CLEAN[i % 6] + f" {i}" for i in range(60)]
+    rows = [(t, "x") for t in [*held, *held[::-1], "plain", None, ""]]
+    got = e.distributed_margin(spark.createDataFrame(rows, "text string, evidence string"), "text", model)
+    assert abs(got - e.validated_margin([*held, *held], model)) <= 0.01
+    df = spark.createDataFrame([(f"Größe {i}",) for i in range(400)], "text string")
+    kept = {r.text for r in df.where(e.held_out("text")).collect()}
+    assert 0 < len(kept) < 60 and {r.text for r in df.orderBy(e.F.desc("text")).where(e.held_out("text")).collect()} == kept
+
+
 def test_on_tables(spark):
     rows = [(f"c{i}", t, "x") for i, t in enumerate(CLEAN[:80])] + [("bad", CLEAN[0].encode().decode("cp1252"), "x"), ("bad", CLEAN[0].encode().decode("cp1252"), "y"), ("none", None, "x"), ("empty", "", "x")]
     df = spark.createDataFrame(rows, "chunk_id string, text string, evidence string")
