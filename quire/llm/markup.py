@@ -1,10 +1,10 @@
 """Problem 5: markup residue of up to four families, sometimes mixed, in notes.
 
 A lexer cuts a note into markup tokens and text; what stands in code samples and formulas is text.
-Over all notes, tokens with equal occurrence vectors (how often in which note) form equivalence
-classes.  A class of two and more kinds of tokens that open and close in order is valid; valid
-classes nest into the template.  Tokens of the grammar that stand alone by nature (line breaks,
-entities, headings, list marks) and unclosed tags are template tokens as well; every other candidate
+Over all notes, tokens with equal occurrence vectors (how often in which note), whatever their names, form
+equivalence classes.  A class with a name that opens and closes in order is valid, and holds the names
+that only open, directly within that one.  Tokens the grammar of a family knows are template tokens
+without a class, since a note may be the only one to use them; every other candidate
 (an unknown ``<word>``, a lone brace) is text of a slot.  What remains in the slots, with headings,
 lists, code blocks and formulas marked, is the clean text.
 
@@ -24,7 +24,7 @@ from dataclasses import dataclass
 from html.entities import html5
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.runtime import ship
@@ -174,17 +174,28 @@ def grammatical(t: Token) -> bool:
     return t.family != "html" or t.name in ELEMENTS or t.name in ("!--", "&")
 
 
-def nested(tokens: list[Token]) -> set[tuple[str, str]]:
-    """Names of tokens whose openings and closings nest in order in this note."""
-    depth: dict[tuple[str, str], int] = {}
-    broken = set()
+def nested(tokens: list[Token]) -> tuple[set[tuple[str, str]], dict[tuple[str, str], set[str]]]:
+    """Names of tokens whose openings and closings nest in order in this note, within those of other names as well,
+    and the names of the innermost openings around the tokens of each name."""
+    seen, broken = set(), set()
+    stack: list[tuple[str, str]] = []
+    around: dict[tuple[str, str], set[str]] = {}
     for t in tokens:
-        if t.role != "single":
-            key = (t.family, t.name)
-            depth[key] = depth.get(key, 0) + (1 if t.role == "open" else -1)
-            if depth[key] < 0:
+        key = (t.family, t.name)
+        if t.role == "close":
+            seen.add(key)
+            if key not in stack:
                 broken.add(key)
-    return {k for k, d in depth.items() if d == 0 and k not in broken}
+                continue
+            while (top := stack.pop()) != key:
+                broken.add(top)
+        else:
+            closing = [k for k in stack if k[0] == t.family]
+            around.setdefault(key, set()).add(closing[-1][1] if closing else "")
+            if t.role == "open":
+                seen.add(key)
+                stack.append(key)
+    return seen - broken - set(stack), around
 
 
 # --- clean text -----------------------------------------------------------------------------------------
@@ -192,8 +203,8 @@ def nested(tokens: list[Token]) -> set[tuple[str, str]]:
 _BLOCKS = frozenset("p div section article header footer main aside ul ol dl table tr blockquote pre h1 h2 h3 h4 h5 h6 figure hr o:p".split())
 
 
-def clean(text: str | None) -> str | None:
-    """Text with ``# `` headings, ``- `` and ``1. `` lists, fenced code and ``$`` formulas, without other markup."""
+def clean(text: str | None, template: frozenset[str] = frozenset()) -> str | None:
+    """Text of the slots between the tags of HTML and of ``template``, with ``# `` headings, ``- `` and ``1. `` lists, fenced code and ``$`` formulas, without other markup."""
     if text is None:
         return None
     kept: list[str] = []
@@ -224,7 +235,7 @@ def clean(text: str | None) -> str | None:
         name, closing = m.group(1).lower(), m.group()[1] == "/"
         if name in ("ref", "references"):
             return ""
-        if name not in ELEMENTS and name not in ("gallery", "math", "nowiki"):
+        if name not in ELEMENTS and name not in template and name not in ("gallery", "math", "nowiki"):
             return m.group()
         if name == "br":
             return "\n"
@@ -290,7 +301,8 @@ def clean(text: str | None) -> str | None:
 
 
 def tokens_of(notes: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, family, name, role, n, nests, known) of the candidate tokens of each distinct text of a note."""
+    """(key, family, name, role, n, nests, around, known) of the candidate tokens of each distinct text of a note;
+    ``around`` is the name of the one opening around all of them, if there is one."""
     ship(notes.sparkSession)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -298,25 +310,30 @@ def tokens_of(notes: DataFrame, key: str, text: str) -> DataFrame:
             rows = []
             for k, t in zip(f[key], f[text]):
                 tokens = lex(t)
-                good = nested(tokens)
+                good, around = nested(tokens)
                 counts: dict[tuple[str, str, str], list] = {}
                 for x in tokens:
-                    c = counts.setdefault((x.family, x.name, x.role), [0, (x.family, x.name) in good, grammatical(x)])
+                    outer = around.get((x.family, x.name), set())
+                    c = counts.setdefault((x.family, x.name, x.role), [0, (x.family, x.name) in good, next(iter(outer)) if len(outer) == 1 else "", grammatical(x)])
                     c[0] += 1
                 rows += [(k, *names, *c) for names, c in counts.items()]
-            yield pd.DataFrame(rows, columns=["key", "family", "name", "role", "n", "nests", "known"])
+            yield pd.DataFrame(rows, columns=["key", "family", "name", "role", "n", "nests", "around", "known"])
 
     kept = notes.where(F.col(text).isNotNull() & F.col(key).isNotNull()).select(key, text).distinct()
-    return kept.mapInPandas(run, "key string, family string, name string, role string, n int, nests boolean, known boolean")
+    return kept.mapInPandas(run, "key string, family string, name string, role string, n int, nests boolean, around string, known boolean")
 
 
 def valid_classes(tokens: DataFrame) -> DataFrame:
-    """(family, name, class) of the tokens in valid equivalence classes: equal occurrence vectors over at least
-    two notes, opening as well as closing, nested wherever they occur."""
+    """(family, name, class) of the tokens in valid equivalence classes: equal occurrence vectors over at least two
+    notes, whatever the names.  A class is valid if a name of it opens and closes, nested wherever it occurs; names
+    that only open belong to it where they always stand directly within such a name of the class."""
     vector = F.sum(F.xxhash64("key", "n").cast("decimal(38,0)")).alias("class")
-    per = tokens.groupBy("family", "name", "role").agg(vector, F.count("*").alias("notes"), F.min(F.col("nests").cast("int")).alias("nests"))
-    paired = per.where("role <> 'single'").groupBy("class", "family", "name").agg(F.countDistinct("role").alias("roles"), F.min("nests").alias("nests"), F.max("notes").alias("notes"))
-    return paired.where("roles = 2 AND nests = 1 AND notes >= 2").select("family", "name", "class")
+    per = tokens.groupBy("family", "name", "role").agg(vector, F.count("*").alias("notes"), F.min(F.col("nests").cast("int")).alias("nests"), F.min("around").alias("around"), F.max("around").alias("other"))
+    named = per.groupBy("class", "family", "name").agg(F.countDistinct("role").alias("roles"), F.min("nests").alias("nests"), F.max("notes").alias("notes"), F.min("around").alias("around"), F.max("other").alias("other"), F.max(F.col("role") == "close").alias("closes"))
+    pair = F.expr("roles = 2 AND closes AND nests = 1 AND notes >= 2")
+    pairs = F.collect_set(F.when(pair, F.col("name"))).over(Window.partitionBy("class", "family"))
+    held = F.expr("roles = 1 AND NOT closes AND notes >= 2 AND around = other AND array_contains(pairs, around)")
+    return named.withColumn("pairs", pairs).where(pair | held).select("family", "name", "class")
 
 
 def families(notes: DataFrame, key: str, text: str) -> DataFrame:
@@ -328,11 +345,14 @@ def families(notes: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def cleaned(notes: DataFrame, key: str, text: str, out: str = "clean") -> DataFrame:
-    """key and clean text of every distinct (key, text); null texts stay null."""
+    """key and clean text of every distinct (key, text), the slots of the template; null texts stay null."""
     ship(notes.sparkSession)
 
     @F.pandas_udf("string")
-    def run(s: pd.Series) -> pd.Series:
-        return s.map(clean, na_action="ignore")
+    def run(s: pd.Series, template: pd.Series) -> pd.Series:
+        return pd.Series([None if t is None else clean(t, frozenset(n if n is not None else ())) for t, n in zip(s, template)], dtype=object)
 
-    return notes.select(key, text).distinct().select(key, run(text).alias(out))
+    tokens = tokens_of(notes, key, text)
+    classes = valid_classes(tokens).select("family", "name").distinct()
+    unknown = tokens.where(~F.col("known")).join(classes, ["family", "name"]).groupBy(F.col("key").alias(key)).agg(F.collect_set("name").alias("template"))
+    return notes.select(key, text).distinct().join(unknown, key, "left").select(key, run(text, "template").alias(out))

@@ -97,6 +97,15 @@ def test_classes_of_unknown_tags(spark):
     assert out == {"n0", "n1", "n2"}  # pairs that nest in several notes are a template, a lone word is not
 
 
+def test_classes_of_different_names(spark):
+    rows = [(f"n{i}", "<card><pic>a</card> <draft> b") for i in range(2)] + [("n2", "<draft> c"), ("n3", "<one><two></one></two>"), ("n4", "<one><two></one></two>"), ("n5", None)]
+    df = spark.createDataFrame(rows, "noteKey string, note_html string")
+    classes = {(r.name, r["class"]) for r in m.valid_classes(m.tokens_of(df, "noteKey", "note_html")).collect()}
+    assert {n for n, _ in classes} == {"card", "pic", "one"} and len({c for n, c in classes if n != "one"}) == 1  # crossed tags nest for one name at most
+    out = {r.noteKey: r.clean for r in m.cleaned(df, "noteKey", "note_html").collect()}
+    assert out["n0"] == out["n1"] == "a <draft> b" and out["n2"] == "<draft> c" and out["n5"] is None
+
+
 @pytest.mark.parametrize(
     ("raw", "want"),
     [
