@@ -13,6 +13,7 @@ get equal results; an empty corpus gives an empty model, under which only strict
 
 from __future__ import annotations
 
+import codecs
 import math
 import re
 import unicodedata
@@ -44,8 +45,6 @@ LEAST_MARGIN, FALSE_SHARE = 8.0, 0.0005
 LOST_SIGN = 9.0
 #: Gain in nats with which one word alone is evidence for a single-byte chain.
 SURE_WORD = 10.0
-#: A bigram less likely than this (in nats) makes a text worth scoring.  Garbled texts hold bigrams below -12.5.
-RARE = -9.5
 LOST = "�"
 _TOKEN = re.compile(r"[^ \t\r\n]*[^\x00-\x7f][^ \t\r\n]*")
 
@@ -109,6 +108,23 @@ def count_bigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate((at // 128 * (1 << 21) + at % 128, other)), np.concatenate((table[at], n))
 
 
+Chain = tuple[str, str]
+
+
+class _Pairs(dict):
+    """(first, second) -> log probability, filled as pairs come up; short stretches need no arrays."""
+
+    def __init__(self, model: CharModel) -> None:
+        super().__init__()
+        self.model = model
+
+    def __missing__(self, pair: tuple[str, str]) -> float:
+        if len(self) > 1_000_000:
+            self.clear()
+        self[pair] = log = float(self.model.between(np.array([ord(pair[0])]), np.array([ord(pair[1])]))[0])
+        return log
+
+
 @dataclass
 class CharModel:
     """Bigram probabilities, smoothed towards the unigram ones."""
@@ -153,14 +169,30 @@ class CharModel:
         return out
 
     def score(self, text: str, before: str = " ", after: str = " ") -> float:
-        codes = _codes([before + text + after])
-        return float(self.between(codes[:-1], codes[1:]).sum())
+        logs, total, last = self.pairs, 0.0, before
+        for c in text:
+            total += logs[last, c]
+            last = c
+        return total + logs[last, after]
+
+    @cached_property
+    def pairs(self) -> _Pairs:
+        return _Pairs(self)
 
     def strange(self, text: str) -> float:
         """Share of the signs outside ASCII that no clean record has."""
         odd = [c for c in text if c > "\x7f" and c != LOST]
         return sum(ord(c) not in self.known for c in odd) / max(1, len(odd))
 
+    @cached_property
+    def memory(self) -> dict[tuple[str, str, str], tuple[str, float, bool, Chain | None]]:
+        """Best readings of short stretches under this model; a worker may see several models."""
+        return {}
+
+    @cached_property
+    def gains(self) -> dict[tuple[str, str, str], dict[Chain, float]]:
+        return {}
+
     @cached_property
     def known(self) -> set[int]:
         return set(self.seconds.tolist())
@@ -174,38 +206,22 @@ _SINGLE = {read: {c: b for b, c in _high(read).items()} for _, read in CHAINS if
 for _codec in ("cp1252", "cp1250", "cp1251"):
     for _b in range(128, 160):
         _SINGLE[_codec].setdefault(chr(_b), _b)
+_TO_BYTES = {read: {**{b: b for b in range(128)}, **{ord(c): b for c, b in table.items()}, ord(LOST): 0xFF} for read, table in _SINGLE.items()}
 _UTF8_RUN = re.compile(rb"[\xc2-\xdf][\x80-\xbf]|[\xe0-\xef][\x80-\xbf]{2}|[\xf0-\xf4][\x80-\xbf]{3}")
 
 
 def _to_bytes(token: str, read: str) -> bytes | None:
-    table = _SINGLE.get(read)
-    if table is None:
-        try:
-            return token.encode(read)
-        except UnicodeEncodeError:
-            # lost signs and plain signs in between stay as marks that no encoding reads
-            out = bytearray()
-            lost = 0
-            for c in token:
-                try:
-                    out += c.encode(read)
-                except UnicodeEncodeError:
-                    if c != LOST:
-                        return None
-                    lost += 1
-                    out += b"\xff"
-            return bytes(out) if lost else None
-    out = bytearray()
-    for c in token:
-        if c < "\x80":
-            out.append(ord(c))
-        elif c in table:
-            out.append(table[c])
-        elif c == LOST:
-            out.append(0xFF)
-        else:
+    """The bytes that a reader with ``read`` saw; lost signs stay as marks that no encoding reads."""
+    table = _TO_BYTES.get(read)
+    try:
+        return token.encode(read) if table is None else codecs.charmap_encode(token, "strict", table)[0]
+    except UnicodeEncodeError:
+        if table is not None or LOST not in token:
             return None
-    return bytes(out)
+    try:
+        return b"\xff".join(part.encode(read) for part in token.split(LOST))
+    except UnicodeEncodeError:
+        return None
 
 
 def _partly(token: str, read: str, data: bytes) -> str:
@@ -277,9 +293,6 @@ def _has_letter(token: str) -> bool:
     return any(c > "\x7f" and c.isalpha() for c in token)
 
 
-Chain = tuple[str, str]
-
-
 def best_reading(token: str, model: CharModel, before: str = " ", after: str = " ", rounds: int = 3) -> tuple[str, float, bool, Chain | None]:
     """The likeliest reading of a stretch, its gain in nats over the stretch as it is, whether a multi-byte
     encoding, which hardly any other text fits by chance, is among its chains, and its first chain.
@@ -291,7 +304,7 @@ def best_reading(token: str, model: CharModel, before: str = " ", after: str = "
     frontier: list[tuple[str, bool, Chain | None]] = [(token, False, None)]
     seen = {token}
     for _ in range(rounds):
-        following: list[tuple[int, str, bool, Chain | None]] = []
+        following: list[tuple[str, bool, Chain | None]] = []
         for text, strict, first in frontier:
             if "â" in text:  # the first byte of UTF-8 punctuation whose other two a cleaner has dropped
                 filled = fill_lost(text.replace("â", LOST), model, before, after, _MARKS)
@@ -304,12 +317,12 @@ def best_reading(token: str, model: CharModel, before: str = " ", after: str = "
                 many = strict or written not in _SINGLE
                 chain = first or (written, read)
                 if written == "utf-8" and not t.isascii():
-                    following.append((sum(c > "\x7f" for c in t), t, many, chain))
+                    following.append((t, many, chain))
                 if not many and (t.count(LOST) != text.count(LOST) or not _has_letter(text) and not _has_letter(t)):
                     continue
                 if model.strange(t) <= 0.3 and (score := model.score(t, before, after)) > best[1]:
                     best = (t, score, many, chain)
-        frontier = [x[1:] for x in sorted(following)[:4]]
+        frontier = following
         if not frontier:
             break
     text, score, strict, first = best
@@ -319,18 +332,26 @@ def best_reading(token: str, model: CharModel, before: str = " ", after: str = "
     return text, score - start, strict, first
 
 
-_memory: dict[tuple[str, str, str], tuple[str, float, bool, Chain | None]] = {}
-
-
 def _cached(token: str, before: str, after: str, model: CharModel) -> tuple[str, float, bool, Chain | None]:
     if len(token) > 60:
         return best_reading(token, model, before, after)
+    key, memory = (token, before, after), model.memory
+    if key not in memory:
+        if len(memory) > 300_000:
+            memory.clear()
+        memory[key] = best_reading(token, model, before, after)
+    return memory[key]
+
+
+def _gains(token: str, before: str, after: str, model: CharModel) -> dict[Chain, float]:
+    """The gain of each single-byte chain under which the stretch is likelier."""
     key = (token, before, after)
-    if key not in _memory:
-        if len(_memory) > 300_000:
-            _memory.clear()
-        _memory[key] = best_reading(token, model, before, after)
-    return _memory[key]
+    if key not in model.gains:
+        if len(model.gains) > 100_000:
+            model.gains.clear()
+        start = model.score(token, before, after)
+        model.gains[key] = {(written, read): g for t, written, read in _readings(token) if written in _SINGLE and (g := model.score(t, before, after) - start) > 0}
+    return model.gains[key]
 
 
 Reading = tuple[int, int, str, float, bool]
@@ -349,9 +370,8 @@ def readings(text: str, model: CharModel) -> list[Reading]:
         reading, gain, strict, chain = _cached(m.group(), *around, model)
         found.append((a, b, reading, gain, strict))
         if gain > 0 and not strict and (_has_letter(m.group()) or _has_letter(reading)):
-            for t, written, read in _readings(m.group()):
-                if written in _SINGLE and (g := model.score(t, *around) - model.score(m.group(), *around)) > 0:
-                    by_chain[written, read] = by_chain.get((written, read), 0.0) + g
+            for chain, g in _gains(m.group(), *around, model).items():
+                by_chain[chain] = by_chain.get(chain, 0.0) + g
     if by_chain:
         top = max(by_chain, key=lambda c: (by_chain[c], c))
         for i, (a, b, _, gain, strict) in enumerate(found):
@@ -422,16 +442,6 @@ def without_model(text: str, rounds: int = 3) -> str:
     return _TOKEN.sub(fix, text) if _SIGNATURE.search(text) else text
 
 
-def worth_scoring(texts: list[str], model: CharModel) -> np.ndarray:
-    """Texts with a sign outside ASCII in a bigram that the model finds rare, or a mark of garbling."""
-    codes = _codes(["", *texts, ""])
-    odd = np.zeros(len(codes) - 1, dtype=bool)
-    at = np.flatnonzero((codes[:-1] > 127) | (codes[1:] > 127))
-    odd[at] = model.between(codes[at], codes[at + 1]) < RARE
-    breaks = np.cumsum([1] + [len(t) + 1 for t in texts])
-    return np.flatnonzero(np.diff(np.concatenate(([0], np.cumsum(odd)))[np.minimum(breaks, len(odd))]))
-
-
 # --- on Spark ---------------------------------------------------------------------------------------
 
 
@@ -550,8 +560,8 @@ def repaired(records: DataFrame, key: list[str], text: str, model: CharModel, ma
         for batch in batches:
             texts = batch.column(n).to_pylist()
             rows, out, gains = [], [], []
-            for i in worth_scoring(texts, own).tolist():
-                fixed, gain = restore(texts[i], own, margin)
+            for i, t in enumerate(texts):
+                fixed, gain = restore(t, own, margin)
                 if gain > margin:
                     rows.append(i)
                     out.append(fixed)

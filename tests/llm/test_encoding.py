@@ -26,6 +26,21 @@ def test_chains_are_found_and_undone(model, written, read):
     assert tried == 0 or found == tried and exact >= 0.6 * tried, (tried, found, exact)
 
 
+def test_models_in_one_session_do_not_share_readings(model):
+    other = e.CharModel.of(*e.count_bigrams(["Таможенная книга измеряет цены на зерно в северных долинах."] * 40))
+    texts = [t.encode("cp1252").decode("cp1251") for t in CLEAN[:3]] + ["cafй", "naпve"]
+    fresh = [e.restore(t, e.CharModel(*m.packed()), 8.0) for m in (model, other) for t in texts]
+    assert [e.restore(t, m, 8.0) for m in (model, other) for t in texts] == fresh
+    assert fresh[: len(texts)] != fresh[len(texts) :]
+
+
+def test_every_reading_in_utf8_goes_on(model):
+    t = CLEAN[1]
+    for first, second in [(("utf-8", "mac_roman"), ("utf-8", "cp1252")), (("utf-8", "latin-1"), ("utf-8", "cp850"))]:
+        g = e.garble(e.garble(t, *first), *second)
+        assert e.restore(g, model, 8.0)[0] == t, (first, second)
+
+
 def test_twice_garbled(model):
     t = CLEAN[0]
     twice = e.garble(e.garble(t, "utf-8", "cp1252"), "utf-8", "cp1252")
