@@ -14,6 +14,7 @@ get equal results; an empty corpus gives an empty model, under which only strict
 from __future__ import annotations
 
 import codecs
+import hashlib
 import math
 import re
 import unicodedata
@@ -198,9 +199,23 @@ class CharModel:
         return set(self.seconds.tolist())
 
     def packed(self) -> tuple:
-        return self.keys, self.logs, self.firsts, self.total, self.seconds, self.share, self.unseen
+        """The arrays, and their digest, by which a worker knows the model again."""
+        arrays = self.keys, self.logs, self.firsts, self.total, self.seconds, self.share
+        digest = hashlib.blake2b(repr(self.unseen).encode())
+        for a in arrays:
+            digest.update(a.tobytes())
+        return *arrays, self.unseen, digest.digest()
+
+    @classmethod
+    def unpacked(cls, packed: tuple) -> CharModel:
+        """The model of ``packed``; tasks of one worker that are given the same model share what it remembers."""
+        if (model := _LAST.get(packed[-1])) is None:
+            _LAST.clear()
+            _LAST[packed[-1]] = model = cls(*packed[:-1])
+        return model
 
 
+_LAST: dict[bytes, CharModel] = {}
 _SINGLE = {read: {c: b for b, c in _high(read).items()} for _, read in CHAINS if read in ("cp1252", "cp1251", "cp1250", "latin-1", "mac_roman", "cp437", "cp850", "koi8-r", "iso8859-15", "iso8859-2", "cp866")}
 # cp1252 leaves five bytes undefined; readers often pass them through as control characters
 for _codec in ("cp1252", "cp1250", "cp1251"):
@@ -520,7 +535,7 @@ def distributed_margin(held: DataFrame, text: str, model: CharModel, *, least: f
 
     def judged(of, keep):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            own = CharModel(*packed.value)
+            own = CharModel.unpacked(packed.value)
             for batch in batches:
                 found = (of(t, own) for t in batch.column(0).to_pylist() if keep(t))
                 counts = Counter(math.ceil(100 * e) for e in found if e is not None)
@@ -556,7 +571,7 @@ def repaired(records: DataFrame, key: list[str], text: str, model: CharModel, ma
     n = len(key)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = CharModel(*packed.value)
+        own = CharModel.unpacked(packed.value)
         for batch in batches:
             texts = batch.column(n).to_pylist()
             rows, out, gains = [], [], []

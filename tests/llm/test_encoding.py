@@ -29,8 +29,11 @@ def test_chains_are_found_and_undone(model, written, read):
 def test_models_in_one_session_do_not_share_readings(model):
     other = e.CharModel.of(*e.count_bigrams(["Таможенная книга измеряет цены на зерно в северных долинах."] * 40))
     texts = [t.encode("cp1252").decode("cp1251") for t in CLEAN[:3]] + ["cafй", "naпve"]
-    fresh = [e.restore(t, e.CharModel(*m.packed()), 8.0) for m in (model, other) for t in texts]
+    fresh = [e.restore(t, e.CharModel(*m.packed()[:-1]), 8.0) for m in (model, other) for t in texts]
+    shared = [e.CharModel.unpacked(m.packed()) for m in (model, other, model)]
+    assert [e.restore(t, m, 8.0) for m in shared[:2] for t in texts] == fresh
     assert [e.restore(t, m, 8.0) for m in (model, other) for t in texts] == fresh
+    assert e.CharModel.unpacked(model.packed()) is shared[2]
     assert fresh[: len(texts)] != fresh[len(texts) :]
 
 
