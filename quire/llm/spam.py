@@ -1,15 +1,18 @@
 """Problem 10: pages of repeated keywords, link lists and product tags instead of sentences.
 
-Each document gets features of density (share outside sentences, share of links), repetition (share of
-that rest in phrases that come back), entropy and function words.  Location and scatter of the features
-are estimated robustly per language over all documents: medians, median deviations, and the covariance
-of the winsorised scores.  A document is spam when its Mahalanobis distance is an outlier's and the
-deviation points in a spam direction: away from sentences, and towards repetition, links or offers.
-Reference lists, indexes, contents pages, glossaries and annotated links are outliers too, but they
-deviate in other directions (numbers, names, sentences beside links).
+Each document gets features of density (shares of the text outside sentences and in links, of prices, numbers
+and signs), repetition, entropy and function words; those that grow with length are means over windows.
+Location and scatter are estimated robustly per language over all documents: medians, median
+deviations, and the covariance of the winsorised scores, shrunk towards the pooled ones of such languages.
+The whitened deviation of a document has a length, its Mahalanobis distance, and a direction.  The directions
+of all outliers are clustered on the sphere, from one seed for each kind of page; a document is spam when it is
+an outlier, its direction is nearest to that of a kind of spam, and its projection on that direction is an
+outlier's as well.  Reference lists, indexes, contents pages, glossaries, code and annotated links deviate
+as far, but in other directions.
 
 Defined results: null, empty and blank texts, and texts under five words, are no spam; repeated texts under
-other ids get equal results; languages with few documents share one pooled estimate.
+other ids get equal results; a language of few documents is judged mostly by the pooled estimate, texts without
+a word of any known language wholly, as they may all be spam.
 """
 
 from __future__ import annotations
@@ -28,11 +31,23 @@ from pyspark.sql import types as T
 
 from quire.runtime import checkpointed, ship
 
-FEATURES = ("loose", "links", "repeats", "flat", "bare", "offers", "numbers", "keyword")
-#: Least median deviation of a feature, so that a constant one does not make everything an outlier.
-FLOORS = (0.08, 0.05, 0.08, 0.08, 0.08, 0.05, 0.05, 0.06)
-#: Upper 0.1 % point of chi-square with eight degrees of freedom; documents a language needs for its own estimate.
-OUTLIER, LEAST_DOCUMENTS = 26.12, 200
+FEATURES = ("loose", "links", "repeats", "flat", "function", "numbers", "phrase", "signs", "prices")
+#: Least deviation of a feature, so that a constant one does not make everything an outlier; a tenth of a page may be links.
+FLOORS = (0.08, 0.10, 0.04, 0.02, 0.03, 0.02, 0.05, 0.01, 0.03)
+#: Languages written without spaces, whose features are of pairs of signs; groups whose estimates those of languages lean on.
+UNSPACED, POOLS = ("zh", "ja"), ("", "unspaced")
+#: Point of chi-square with nine degrees of freedom that one in a million lies above; documents that weigh as much as the pooled estimate;
+#: words in a window; rounds of the clustering of directions.
+OUTLIER, PRIOR_DOCUMENTS, WINDOW, ROUNDS = 44.81, 200, 100, 5
+
+# Seeds of the directions, by what each kind of page has more and less of than others do.
+SPAM_SEEDS = {
+    "keywords": {"loose": 1, "repeats": 1, "flat": 1, "function": -1, "phrase": 1}, "tags": {"loose": 1, "repeats": 1, "flat": 1, "function": -1}, "stuffed": {"repeats": 1, "flat": 1, "phrase": 1}, "links": {"loose": 1, "links": 1, "repeats": 1, "function": -1}, "products": {"loose": 1, "repeats": 1, "function": -1, "prices": 1},
+}
+OTHER_SEEDS = {
+    "figures": {"loose": 1, "function": -1, "numbers": 1}, "index": {"loose": 1, "repeats": 1, "flat": 1, "function": -1, "numbers": 1, "phrase": 1}, "references": {"loose": 1, "links": 0.5, "numbers": 1}, "list": {"loose": 1, "function": -1}, "verse": {"loose": 1}, "code": {"loose": 1, "repeats": 1, "flat": 1, "function": -1, "signs": 1}, "formulas": {"loose": 1, "signs": 1},
+    "names": {"function": -1}, "plain": {"function": 1}, "short": {"flat": -1}, "refrain": {"repeats": 1, "function": 0.5}, "monotone": {"flat": 1}, "accounts": {"numbers": 1}, "sums": {"prices": 1},
+}
 
 # Common function words.
 FUNCTION_WORDS = {
@@ -44,8 +59,6 @@ FUNCTION_WORDS = {
     "pl": "i w na z do nie się o że jest to od za po przez dla oraz jak przed bez według mimo nad".split(),
     "ru": "и в на с по не что к из за от о до как это для а же бы при после без между их".split(),
 }
-# Words of offers.
-OFFERS = frozenset("buy sale cheap discount price shop cart order deal deals offer offers wholesale shipping stock compare rent best free online original genuine certified luxury handmade vintage top rated bulk used second hand last minute near me".split())
 # Digits and signs that stand for letters in disguised words.
 DISGUISE = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s"})
 
@@ -59,6 +72,7 @@ _CJK = re.compile(r"[぀-ヿ㐀-鿿]")
 _KANA = re.compile(r"[぀-ヿ]")
 _CYRILLIC = re.compile(r"[Ѐ-ӿ]")
 _NUMBER = re.compile(r"\d+")
+_PRICE = re.compile(r"(?<![\w.,])\d{1,6}[.,]\d\d(?![\d%])(?! ?(?:%|per cent|Prozent))")
 _MIXED = re.compile(r"[^\W\d_]+[\d@$]+|[\d@$]+[^\W\d_]+")
 
 
@@ -105,19 +119,14 @@ def keyword(text: str) -> float:
     return 2 * top / n if top >= 3 else 0.0
 
 
-def offered(text: str) -> float:
-    words = _PLAIN.findall(text.lower())
-    return sum(w in OFFERS for w in words) / max(1, len(words))
-
-
-def features(text: str | None) -> tuple[str, float, float, float, float, float, float, float, float] | None:
-    """(language, share outside sentences, share of links, share in repeated phrases, want of entropy, want of
-    function words, share of offers, share of numbers, share of the commonest phrase in the whole text); repetition and the like are measured in what lies outside sentences."""
+def features(text: str | None) -> tuple[str, *tuple[float, ...]] | None:
+    """The language, and FEATURES: share outside sentences, share of links, share of words in repeated phrases, want of
+    entropy, shares of function words, of numbers, of the commonest phrase, of signs of programs, of prices."""
     if not text or len(text.split(None, 5)) < 5 and len(text) < 40:
         return None
     links = _LINK.findall(text)
     linked = sum(map(len, links))
-    inside, outside = 0, []
+    inside = outside = 0
     for m in _SEGMENT.finditer(text):
         s = m.group()
         if not s.strip():
@@ -125,37 +134,33 @@ def features(text: str | None) -> tuple[str, float, float, float, float, float,
         if is_sentence(s) and not (links and _LINK.search(s) and sum(map(len, _LINK.findall(s))) > 0.5 * len(s)):
             inside += len(s)
         else:
-            outside.append(s)
-    rest = sum(map(len, outside))
-    total = max(1, inside + rest)
-    loose = rest / total
+            outside += len(s)
     lang = language(text)
-    phrase = keyword(text)
-    if loose < 0.25:
-        return lang, loose, linked / len(text), 0.0, 0.0, 0.0, offered(text) if phrase > 0.15 else 0.0, 0.0, phrase
-    body = " ".join(outside)
-    tokens = []
-    numbers = 0
-    for w in _WORDS.findall(_LINK.sub(" ", body).lower() if linked < 0.5 * len(body) else body.lower()):
+    cjk = lang in UNSPACED
+    tokens, numbers, prices = [], 0, len(_PRICE.findall(text))
+    for w in _WORDS.findall((_LINK.sub(" ", text) if linked and linked < 0.5 * len(text) else text).lower()):
         if w.isdigit():
             numbers += 1
         else:
             tokens.append(w.translate(DISGUISE) if not w.isalpha() and _MIXED.match(w) else w)
-    if _CJK.search(body):
-        tokens = [c for t in tokens for c in (t if _CJK.search(t) else [t])]
-    n = len(tokens)
-    if n < 5:
-        return lang, loose, linked / len(text), 0.0, 0.0, 1.0, 0.0, 1.0, phrase
-    words = Counter(tokens)
-    pairs = Counter(zip(tokens, tokens[1:]))
-    repeated = sum(c for c in pairs.values() if c >= 3) / max(1, n - 1)
-    single = sum(c for w, c in words.items() if c >= 3 and w not in _ALL_FUNCTION) / n
-    if sum(map(body.count, "(){}[]=<>")) > 0.06 * len(body) and linked < 0.3 * len(text):
-        repeated = single = 0.0  # lines of a program come back, too
-    entropy = -sum(c / n * math.log(c / n) for c in words.values()) / math.log(n)
-    function = sum(words[w] for w in _ALL_FUNCTION if w in words) / n
-    offers = sum(words[w] for w in OFFERS if w in words) / n
-    return lang, loose, linked / len(text), max(repeated, single), 1 - entropy, 1 - min(1.0, function / 0.3), offers, numbers / (n + numbers), phrase
+    if cjk:
+        tokens = [c for t in tokens for c in ([t[i : i + 2] for i in range(max(1, len(t) - 1))] if _CJK.search(t) else [t])]
+    n, repeated, flat, function = len(tokens), 0.0, 0.0, 0
+    windows = max(1, round(n / WINDOW))
+    for i in range(windows):
+        window = tokens[i * n // windows : (i + 1) * n // windows]
+        size = len(window)
+        words, pairs = Counter(window), Counter(zip(window, window[1:]))
+        common = {w: c for w, c in words.items() if w in _ALL_FUNCTION}
+        function += sum(common.values())
+        if size > 4:
+            often = sum(c for w, c in words.items() if c >= 3 and w not in common) / size
+            repeated += size * max(sum(c for c in pairs.values() if c >= 3) / (size - 1), often)
+            flat += size * (1 + sum(c * math.log(c / size) for c in words.values()) / (size * math.log(size)))
+    signs = 0.0 if links else sum(map(text.count, "(){}[]=<>")) / len(text)
+    own = max(1, n)
+    figures = max(1, n + numbers)
+    return (lang, outside / max(1, inside + outside), linked / len(text), repeated / own, flat / own, 0.0 if cjk else function / own, max(0, numbers - 2 * prices) / figures if n else 1.0, keyword(text), signs, 2 * prices / figures)
 
 
 # --- on Spark ---------------------------------------------------------------------------------------
@@ -176,60 +181,123 @@ def measured(documents: DataFrame, key: str, text: str) -> DataFrame:
     return documents.where(F.col(text).isNotNull()).select(key, text).mapInArrow(run, schema)
 
 
-def robust_estimates(rows: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Median, scaled median deviation and inverse covariance of the winsorised scores, by language.
+def pool_of(language: str) -> str:
+    return "unspaced" if language in UNSPACED else ""
+
+
+Estimates = dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]]
+
+
+def robust_estimates(rows: DataFrame) -> Estimates:
+    """Median, scaled median deviation and whitening matrix (the symmetric root of the inverse covariance of the
+    winsorised scores) by language; the pooled ones of all and of those without spaces are kept beside them.
 
-    Two passes of aggregation over all documents: percentiles, then cross products.  A language with
-    few documents gets the pooled estimate, kept under ``""``; there are as many rows as languages."""
-    grouped = rows.withColumn("group", F.explode(F.array("language", F.lit(""))))
+    Two passes of aggregation over all documents: percentiles, then cross products; there are as many rows as
+    languages.  Each language's figures are means of its own and the pooled ones, weighted by
+    its number of documents against PRIOR_DOCUMENTS, so they change smoothly as a corpus grows."""
+    pools = F.when(F.col("language").isin(*UNSPACED), F.array(F.col("language"), F.lit("unspaced"), F.lit(""))).otherwise(F.array(F.col("language"), F.lit("")))
+    grouped = rows.withColumn("group", F.explode(pools))
     middle = {r["group"]: r for r in grouped.groupBy("group").agg(F.count("*").alias("n"), *(F.percentile_approx(f, 0.5, 1000).alias(f) for f in FEATURES)).collect()}
     if not middle:
         return {}
+    weight = {g: 1.0 if g == "" else 0.0 if g == "none" else r["n"] / (r["n"] + PRIOR_DOCUMENTS) for g, r in middle.items()}
+
+    def shrunk(of: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+        out = {}
+        for g in sorted(of, key=lambda g: (g not in POOLS, g)):  # pools first, the wider one before the other
+            out[g] = weight[g] * of[g] + (1 - weight[g]) * (of[g] if g == "" else out[pool_of(g)])
+        return out
+
     spark = rows.sparkSession
-    centre = spark.createDataFrame([(g, [float(r[f]) for f in FEATURES]) for g, r in middle.items()], "group string, centre array<double>")
+    centres = shrunk({g: np.array([r[f] for f in FEATURES], dtype=float) for g, r in middle.items()})
+    centre = spark.createDataFrame([(g, v.tolist()) for g, v in centres.items()], "group string, centre array<double>")
     vector = F.array(*(F.col(f) for f in FEATURES))
+    # one row a language on the small side
     off = grouped.withColumn("x", vector).join(F.broadcast(centre), "group").withColumn("d", F.zip_with("x", "centre", lambda x, c: x - c))
-    spread = {r["group"]: np.maximum([1.4826 * r[f] for f in FEATURES], FLOORS) for r in off.groupBy("group").agg(*(F.percentile_approx(F.abs(F.col("d")[i]), 0.5, 1000).alias(f) for i, f in enumerate(FEATURES))).collect()}
-    scale = spark.createDataFrame([(g, [float(v) for v in s]) for g, s in spread.items()], "group string, scale array<double>")
+    spread = {r["group"]: np.array([1.4826 * r[f] for f in FEATURES]) for r in off.groupBy("group").agg(*(F.percentile_approx(F.abs(F.col("d")[i]), 0.5, 1000).alias(f) for i, f in enumerate(FEATURES))).collect()}
+    scales = {g: np.maximum(v, FLOORS) for g, v in shrunk(spread).items()}
+    scale = spark.createDataFrame([(g, v.tolist()) for g, v in scales.items()], "group string, scale array<double>")
     z = off.join(F.broadcast(scale), "group").withColumn("z", F.zip_with("d", "scale", lambda d, s: F.greatest(F.lit(-3.0), F.least(F.lit(3.0), d / s))))
     k = len(FEATURES)
     products = [F.avg(F.col("z")[i] * F.col("z")[j]).alias(f"s{i}_{j}") for i in range(k) for j in range(i, k)]
-    out = {}
+    covariances = {}
     for r in z.groupBy("group").agg(*products, *(F.avg(F.col("z")[i]).alias(f"m{i}") for i in range(k))).collect():
         mean = np.array([r[f"m{i}"] for i in range(k)])
-        cov = np.array([[r[f"s{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)]) - np.outer(mean, mean)
-        # shrunk towards independent scores, so that a constant feature leaves it invertible
-        out[r["group"]] = (np.array([middle[r["group"]][f] for f in FEATURES], dtype=float), spread[r["group"]], np.linalg.inv(0.7 * cov + 0.3 * np.eye(k)))
-    # texts without a language's words are no group of their own: they may all be spam
-    return {g: e if g == "" or g != "none" and middle[g]["n"] >= LEAST_DOCUMENTS else out[""] for g, e in out.items()}
-
-
-def spam_direction(x: np.ndarray) -> np.ndarray:
-    """Which deviations point towards spam: mostly outside sentences and full of links, of phrases that come
-    back (numbers, as of indexes, speak against) or of offers; or sentences stuffed with one phrase."""
-    loose, links, repeats, _, _, offers, numbers, phrase = x.T
-    listed = (loose >= 0.5) & ((links >= 0.5) | (repeats - 1.5 * numbers >= 0.3) | (offers >= 0.12))
-    stuffed = (phrase >= 0.3) | (phrase >= 0.2) & (offers >= 0.08)
-    return listed | stuffed
-
-
-def judged(rows: DataFrame, key: str, estimates: dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]]) -> DataFrame:
+        covariances[r["group"]] = np.array([[r[f"s{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)]) - np.outer(mean, mean)
+    return {g: (centres[g], scales[g], whitening(cov)) for g, cov in shrunk(covariances).items()}
+
+
+def whitening(cov: np.ndarray) -> np.ndarray:
+    """Symmetric, so that axes keep their meaning in every language; shrunk towards independent scores, so that a
+    constant feature leaves it invertible."""
+    values, vectors = np.linalg.eigh(0.7 * cov + 0.3 * np.eye(len(cov)))
+    return (vectors / np.sqrt(values)) @ vectors.T
+
+
+def seeds() -> tuple[np.ndarray, np.ndarray]:
+    """Unit vectors of the seeded directions, and which of them are of spam."""
+    kinds = [*SPAM_SEEDS.values(), *OTHER_SEEDS.values()]
+    axes = np.array([[kind.get(f, 0.0) for f in FEATURES] for kind in kinds], dtype=float)
+    return axes / np.linalg.norm(axes, axis=1, keepdims=True), np.arange(len(kinds)) < len(SPAM_SEEDS)
+
+
+def deviations(f: pd.DataFrame, estimates: Estimates) -> np.ndarray:
+    """Whitened deviations, whose squared lengths are the Mahalanobis distances."""
+    x = f[list(FEATURES)].to_numpy(dtype=float)
+    out = np.zeros_like(x)
+    for lang, at in f.groupby("language").indices.items():
+        centre, scale, root = estimates[lang]
+        out[at] = ((x[at] - centre) / scale) @ root
+    return out
+
+
+def directions(rows: DataFrame, estimates: Estimates, rounds: int = ROUNDS) -> np.ndarray:
+    """The seeds, moved to the mean directions of the outliers nearest to them, round by round over all documents;
+    a seed counts as one outlier of its own.  Sums by direction are all that leaves a task."""
+    axes, _ = seeds()
+    schema = "axis int, " + ", ".join(f"{f} double" for f in FEATURES)
+    for _ in range(rounds if estimates else 0):
+
+        def run(frames: Iterator[pd.DataFrame], axes: np.ndarray = axes) -> Iterator[pd.DataFrame]:
+            sums = np.zeros_like(axes)
+            for f in frames:
+                w = deviations(f, estimates)
+                length = np.linalg.norm(w, axis=1)
+                unit = w[length**2 > OUTLIER] / length[length**2 > OUTLIER, None]
+                np.add.at(sums, (unit @ axes.T).argmax(axis=1), unit)
+            yield pd.DataFrame(sums, columns=list(FEATURES)).assign(axis=np.arange(len(sums), dtype=np.int32))[["axis", *FEATURES]]
+
+        moved = axes.copy()
+        for r in rows.mapInPandas(run, schema).groupBy("axis").agg(*(F.sum(f).alias(f) for f in FEATURES)).collect():
+            moved[r["axis"]] += [r[f] for f in FEATURES]
+        moved /= np.linalg.norm(moved, axis=1, keepdims=True)
+        if np.allclose(moved, axes, atol=1e-4):
+            break
+        axes = moved
+    return axes
+
+
+def is_spam(w: np.ndarray, axes: np.ndarray) -> np.ndarray:
+    """Outliers nearest to a direction of spam that are outliers along it."""
+    distance = (w**2).sum(axis=1)
+    along = w @ axes.T
+    nearest = along.argmax(axis=1)
+    return (distance > OUTLIER) & seeds()[1][nearest] & (along[np.arange(len(w)), nearest] > math.sqrt(OUTLIER))
+
+
+def judged(rows: DataFrame, key: str, estimates: Estimates, axes: np.ndarray) -> DataFrame:
     """(key, language, distance, spam) of measured documents."""
     schema = T.StructType([rows.schema[key], T.StructField("language", T.StringType()), T.StructField("distance", T.DoubleType()), T.StructField("spam", T.BooleanType())])
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            x = f[list(FEATURES)].to_numpy(dtype=float)
-            distance = np.zeros(len(f))
-            for lang, at in f.groupby("language").indices.items():
-                centre, scale, inverse = estimates.get(lang, estimates.get("", (np.zeros(x.shape[1]), np.ones(x.shape[1]), np.eye(x.shape[1]))))
-                z = (x[at] - centre) / scale
-                distance[at] = np.einsum("ij,jk,ik->i", z, inverse, z)
-            yield pd.DataFrame({key: f[key], "language": f["language"], "distance": distance, "spam": (distance > OUTLIER) & spam_direction(x)})
+            w = deviations(f, estimates)
+            yield pd.DataFrame({key: f[key], "language": f["language"], "distance": (w**2).sum(axis=1), "spam": is_spam(w, axes)})
 
     return rows.mapInPandas(run, schema)
 
 
 def spam(documents: DataFrame, key: str, text: str) -> DataFrame:
     rows = checkpointed(measured(documents, key, text))
-    return judged(rows, key, robust_estimates(rows))
+    estimates = robust_estimates(rows)
+    return judged(rows, key, estimates, directions(rows, estimates))

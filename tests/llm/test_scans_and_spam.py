@@ -112,13 +112,39 @@ def test_spam_and_its_neighbours(spark):
     assert p.spam(df.limit(0), "doc_id", "text").count() == 0
 
 
+def test_distance_and_direction_decide(spark):
+    docs = [(i, t) for i, t in enumerate(SPAM + FINE)] + [(1000 + i, prose(i)) for i in range(300)]
+    rows = p.measured(spark.createDataFrame(docs, "doc_id long, text string"), "doc_id", "text").cache()
+    estimates = p.robust_estimates(rows)
+    axes = p.directions(rows, estimates)
+    f = rows.toPandas()
+    w = p.deviations(f, estimates)
+    spam = f["doc_id"].to_numpy() < len(SPAM)
+    outliers = (w**2).sum(axis=1) > p.OUTLIER
+    assert (p.is_spam(w, axes) == spam).all()
+    assert (outliers & ~spam).sum() >= 3  # the distance alone takes pages that are no spam
+    assert (~outliers & p.seeds()[1][(w @ axes.T).argmax(axis=1)]).any()  # so does the direction alone
+    assert (p.is_spam(w / 100, axes) == False).all()  # noqa: E712
+    assert np.allclose(np.linalg.norm(axes, axis=1), 1)
+
+
+def test_estimates_shrink_smoothly(spark):
+    rng = np.random.default_rng(1)
+    rows = [("en", *map(float, r)) for r in rng.normal(0.2, 0.1, size=(2000, len(p.FEATURES)))]
+    columns = "language string, " + ", ".join(f"{f} double" for f in p.FEATURES)
+    small, large = ([("pl", *map(float, r)) for r in rng.normal(0.6, 0.1, size=(n, len(p.FEATURES)))] for n in (10, 1000))
+    few = p.robust_estimates(spark.createDataFrame(rows + small, columns))["pl"][0]
+    many = p.robust_estimates(spark.createDataFrame(rows + large, columns))["pl"][0]
+    assert (few < 0.27).all() and (many > 0.45).all()
+
+
 def test_estimates_against_numpy(spark):
     rng = np.random.default_rng(0)
     x = rng.normal(0.4, 0.2, size=(400, len(p.FEATURES)))
     df = spark.createDataFrame([(i, "en", *map(float, r)) for i, r in enumerate(x)], "doc_id long, language string, " + ", ".join(f"{f} double" for f in p.FEATURES))
-    centre, scale, inverse = p.robust_estimates(df)["en"]
+    centre, scale, root = p.robust_estimates(df)["en"]
     assert np.allclose(centre, np.median(x, axis=0), atol=0.01)
     mad = 1.4826 * np.median(np.abs(x - centre), axis=0)
     assert np.allclose(scale, mad, atol=0.01)
     z = np.clip((x - centre) / scale, -3, 3)
-    assert np.allclose(np.linalg.inv(inverse), 0.7 * np.cov(z.T, bias=True) + 0.3 * np.eye(len(p.FEATURES)), atol=0.02)
+    assert np.allclose(np.linalg.inv(root @ root), 0.7 * np.cov(z.T, bias=True) + 0.3 * np.eye(len(p.FEATURES)), atol=0.02)
