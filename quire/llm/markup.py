@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.runtime import ship
+from quire.runtime import checkpointed, ship
 
 # Names of HTML elements, and commands of LaTeX that stand without braces.
 ELEMENTS = frozenset("a abbr acronym address article aside b base bdi bdo big blockquote body br button caption center cite code col colgroup dd del details dfn div dl dt em embed fieldset figcaption figure font footer form h1 h2 h3 h4 h5 h6 head header hr html i iframe img input ins kbd label legend li link main map mark meta nav noscript o:p object ol option p param picture pre q rp rt ruby s samp script section select small source span strike strong style sub summary sup svg table tbody td textarea tfoot th thead time title tr track tt u ul var video wbr w:p st1:place".split())
@@ -453,7 +453,7 @@ def tokens_of(notes: DataFrame, key: str, text: str) -> DataFrame:
             yield pd.DataFrame(rows, columns=["key", "family", "name", "context", "n", "matched", "around", "known"])
 
     kept = notes.where(F.col(text).isNotNull() & F.col(key).isNotNull()).select(key, text).distinct()
-    return kept.mapInPandas(run, "key string, family string, name string, context string, n int, matched int, around string, known boolean")
+    return checkpointed(kept.mapInPandas(run, "key string, family string, name string, context string, n int, matched int, around string, known boolean"))
 
 
 def valid_classes(tokens: DataFrame, least: float = LEAST_AGREEMENT) -> DataFrame:
