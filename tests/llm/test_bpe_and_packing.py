@@ -89,6 +89,33 @@ def test_plan_is_near_the_bound():
     assert check_plan([], 10) == 0 and check_plan([(0, 5)], 10) == 0
 
 
+def test_the_fit_places_most_and_beats_the_greedy_rule():
+    import random
+
+    rng = random.Random(2)
+    h = dict(Counter(min(256, max(1, round(rng.lognormvariate(4.6, 0.6)))) for _ in range(100_000)))
+    bound = -(-sum(s * n for s, n in h.items()) // 256)
+    fitted, greedy = packing._Plan(h, 256).fitted(), packing._Plan(h, 256).filled()
+    assert fitted.by_fit == fitted.containers >= 0.9 * bound  # each of them full
+    fitted.filled()
+    assert fitted.containers < greedy.containers
+    assert check_plan(sorted(h.items()), 256) == fitted.containers
+    for capacity in (64, 1024):  # never worse than greedy, whatever the histogram
+        few = dict(Counter(rng.randint(1, 64) for _ in range(500)))
+        assert check_plan(sorted(few.items()), capacity) <= packing._Plan(few, capacity).filled().containers
+
+
+def test_sub_groups_number_alike(spark):
+    sizes = [7] * 500 + [3] * 90 + [10] * 40 + [23] * 60
+    df = spark.createDataFrame(list(enumerate(sizes)), "doc_id long, n_tokens long")
+    for rows in (10_000, 13):
+        load, pieces = Counter(), Counter()
+        for r in packing.pack(df, "doc_id", "n_tokens", 10, rows_a_task=rows).collect():
+            load[r.container] += r.piece_size
+            pieces[r.doc_id] += r.piece_size
+        assert pieces == dict(enumerate(sizes)) and max(load.values()) <= 10 and sorted(load) == list(range(len(load)))
+
+
 def test_documents_in_containers(spark):
     sizes = [0, None, 1, 5, 10, 10, 11, 25, 30] + [4] * 400 + [3] * 7
     df = spark.createDataFrame([(i, s, "clash") for i, s in enumerate(sizes)], "doc_id long, n_tokens long, container string")
