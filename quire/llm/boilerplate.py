@@ -5,9 +5,11 @@ Blocks have unary potentials from a classifier of their words and shape; parent
 potentials; sum-product messages run upward from blocks to sections to the page and downward again and
 give every block the marginal probability of being main body.
 
-Labelled pages train the model: hand-labelled furniture in several languages between titles and body
-text of sources that have no furniture (books, notes, papers), and then the surest blocks of a bounded
-sample of the pages themselves.  Messages are sums of logarithms, so a page of any size costs one
+Labelled pages train the model.  A bounded sample of pages is labelled by two witnesses: a classifier of hand-labelled
+furniture in several languages against titles and body text of sources that have no furniture (books, notes),
+and one of all blocks of the pages against those sources.  A block is furniture if the first is sure of it, or
+if the sources hold nothing like it and the first is not sure of the opposite; body if the first is sure of
+that; lists with a mark on every line are body.  Messages are sums of logarithms, so a page of any size costs one
 aggregation over small columns, with partial sums before the shuffle, and no page is gathered in a task.
 
 Defined results: null, empty and blank texts have no blocks to judge; a blank block is furniture only
@@ -33,7 +35,9 @@ from quire.runtime import checkpointed, ship
 
 #: Greatest numbers of rows that the classifier is fitted on: body texts, titles, blocks of the pages.
 BODY_ROWS, TITLE_ROWS, PAGE_ROWS = 3_000, 1_000, 4_000
-BUCKETS, SURE = 1 << 15, 0.97
+#: Log odds beyond which the hand labels are sure, and beyond which they outweigh that the sources hold nothing like a block;
+#: greatest probability of a block, under the sources, that counts as nothing like it.
+BUCKETS, SURE, DOUBT, UNLIKE = 1 << 15, 3.5, 2.5, 0.04
 #: Parent-child potentials before training: probability that a section is of the page's kind, that a block is of
 #: its section's; and the range within which training may set them.
 PAGE_SECTION, SECTION_BLOCK, LEAST_TIE, MOST_TIE = 0.55, 0.60, 0.50, 0.90
@@ -42,29 +46,55 @@ PAGE_SECTION, SECTION_BLOCK, LEAST_TIE, MOST_TIE = 0.55, 0.60, 0.50, 0.90
 FURNITURE = {
     "en": [
         "We use cookies to make this site work. By going on you agree to our privacy policy. Accept", "This site stores cookies on your device. Accept all Reject all Manage choices", "Your privacy matters to us. Choose which cookies we may set: Necessary · Statistics · Marketing. OK", "{s} and {n} partners process data from your browser. Accept all Reject all Manage choices Read our privacy policy",
-        "© {n} {s}. All rights reserved. Terms of use | Privacy | Imprint | Sitemap", "Copyright {n} {s} — reproduction only with permission. Accessibility statement. Page last modified {d}.", "{s}, {n} Quay Lane, {p}. Open Tuesday to Sunday. Registered charity no. {n}. Site by Studio", "Opening hours Mon–Fri 9–17, last entry 16:30. Tickets {n}. Groups by arrangement.",
-        "Sign up for our newsletter. Enter your e-mail address. Subscribe", "Enjoying this? {s} depends on gifts from readers. Give {n} today and help to keep it free.", "About this site. {s} has been kept by volunteers since {n} and is read in {n} countries; write to us if you find a mistake.",
-        "Share this page  Print  E-mail  Save  {n} comments  {n} shares", "Follow us: Feed · Mailing list · Video channel        Back to top", "{n} comments, newest first. Be the first to reply. Report a comment", "Log in | Register | Basket ({n}) | Search this site", "Skip to main content  Skip to search  Text size A A A  English Deutsch Français",
-        "You are here: Home > News > {t}", "You are here: Home > Collections > {t}", "Previous: {t}   Next: {t}", "Most read this week 1. {t} 2. {t} 3. {t}", "You might also like {t} ({n} min read) {t} ({n} min read)", "Related articles: {t} / {t} / {t}", "Next week: {t}. Put it in your calendar, tell a friend, or come to the reading room in {p}.",
-        "Tags: News, Events, {p}, archive, {n}   Filed under Collections", "Advertisement. {t} — now in paperback, order from our shop with free delivery.", "From our partners. Readers who finished this page went on to {t}, which members can open without charge until the end of the month.", "bells customs dialect ferry glass harbour kelp ledger lute mortar organ reef tolls vowels", "archive bread castle dance engine forest garden history island journal",
+        "{s}, {n} Quay Lane, {p}. Open Tuesday to Sunday. Registered charity no. {n}. Site by Studio", "Opening hours Mon–Fri 9–17, last entry 16:30. Tickets {n}. Groups by arrangement.", "Sign up for our newsletter. Enter your e-mail address. Subscribe", "Enjoying this? {s} depends on gifts from readers. Give {n} today and help to keep it free.",
+        "You are here: Home > News > {t}", "You are here: Home > Collections > {t}", "Tags: News, Events, {p}, archive, {n}   Filed under Collections", "archive bread castle dance engine forest garden history island journal",
+        "Who we are: {s} is run by a small team of editors and supported by {n} subscribers. Contact us with corrections.", "An independent site, online since {n}, {s} reaches readers in many countries; send us your suggestions and corrections.", "Sponsored: our members are reading {t} this week, which subscribers can open free of charge.", "Paid content. Members get full access to {t} at no extra cost; try it without charge until the end of {n}.",
+        "Coming soon: {t}. Save the date, invite a colleague, and join us in the museum hall in {p}.", "Upcoming event at {p}: {t}. Put it on your list, bring your friends, and come to the reading club.", "Popular now 1. {t} 2. {t} 3. {t}", "Trending: {t} | {t} | {t}",
+        "You may also enjoy {t} ({n} min) {t} ({n} min)", "More on this topic: {t} / {t}", "Older post: {t}   Newer post: {t}", "All content copyright {n} {s}. Do not copy without written permission. Accessibility. Last updated {d}.",
+        "Print this article  Share by e-mail  {n} likes  {n} comments", "Leave a comment. {n} replies, oldest first. Flag a reply", "Sign in | Create account | Cart ({n}) | Help", "Jump to navigation  Jump to search  Font size + -  Languages: English Español",
+        "Find us on: Podcast · Photos · RSS    Return to top", "Special offer: {t}, now as a hardcover, ships free from our store.", "atlas bridges coins dunes flags gulls herbs inns kites lanterns mills nets oars",
     ],
     "de": [
-        "Diese Website speichert Daten auf Ihrem Gerät. Alle annehmen Ablehnen Einstellungen", "Wir verwenden Cookies. Mit der weiteren Nutzung stimmen Sie der Datenschutzerklärung zu. Einverstanden", "Newsletter bestellen: E-Mail-Adresse eingeben. Absenden", "© {n} {s} · Impressum · Datenschutz · AGB · Barrierefreiheit", "Alle Rechte vorbehalten. {s}, {p}. Letzte Änderung: {d}", "Anmelden | Registrieren | Warenkorb ({n})", "Seite teilen · drucken · merken · {n} Kommentare",
-        "Ihnen gefällt diese Seite? {s} lebt von Spenden; schon {n} Euro helfen uns weiter.", "Das könnte Sie auch interessieren: {t} / {t}", "Demnächst: {t}. Jetzt vormerken.", "Sie sind hier: Start » Sammlung » {t}", "Schlagwörter: Lehre, Archiv, {p}", "Öffnungszeiten Di–So 10–17 Uhr. Eintritt {n} Euro.", "Nach oben", "Vorheriger Beitrag: {t}   Nächster Beitrag: {t}", "Anzeige. {t} — jetzt im Buchhandel.", "Meistgelesen 1. {t} 2. {t}",
+        "Diese Website speichert Daten auf Ihrem Gerät. Alle annehmen Ablehnen Einstellungen", "Wir verwenden Cookies. Mit der weiteren Nutzung stimmen Sie der Datenschutzerklärung zu. Einverstanden", "Sie sind hier: Start » Sammlung » {t}", "Schlagwörter: Lehre, Archiv, {p}",
+        "Öffnungszeiten Di–So 10–17 Uhr. Eintritt {n} Euro.", "Nach oben", "Vorheriger Beitrag: {t}   Nächster Beitrag: {t}", "Anzeige. {t} — jetzt im Buchhandel.",
+        "Meistgelesen 1. {t} 2. {t}", "Über diese Seite: {s} wird ehrenamtlich betreut; schreiben Sie uns, wenn Sie einen Fehler finden.", "Gefällt Ihnen unser Angebot? {s} braucht Ihre Spende; mit {n} Euro helfen Sie uns.", "Vorschau: {t}. Termin jetzt vormerken und Freunde einladen.",
+        "Mehr zum Thema: {t} / {t}", "Rundbrief abonnieren: Ihre E-Mail-Adresse. Abschicken", "© {n} {s} | Kontakt | Impressum | Datenschutz", "Nachdruck nur mit Genehmigung. {s}, {p}. Stand: {d}",
+        "Einloggen | Konto anlegen | Merkliste ({n})", "Artikel teilen · weiterleiten · {n} Antworten", "Wir verwenden Cookies, um unser Angebot zu messen. Auswahl ändern Zustimmen",
     ],
     "fr": [
-        "Nous utilisons des témoins de connexion pour mesurer l’audience. Tout accepter Refuser Paramètres", "En poursuivant votre navigation, vous acceptez la politique de confidentialité de {s}. Accepter Refuser", "Inscrivez-vous à la lettre d’information. Votre adresse électronique. Valider", "Tous droits réservés, {s}, {p}. Dernière mise à jour : {d}", "© {n} {s} – Mentions légales – Plan du site – Accessibilité", "Connexion | Créer un compte | Panier ({n})", "Partager  Imprimer  Envoyer  {n} commentaires",
-        "{s} vit de vos dons. Donnez {n} euros pour que l’accès reste libre.", "À lire aussi : {t} / {t}", "Vous êtes ici : Accueil › Collections › {t}", "Prochainement : {t}. Réservez la date.", "Mots-clés : Projets, Archives, {p}", "Horaires : du mardi au dimanche, de 10 h à 17 h. Entrée {n} euros.", "Haut de page", "Publicité. {t} — en librairie.", "Article précédent : {t}   Article suivant : {t}", "Les plus lus 1. {t} 2. {t}",
+        "Nous utilisons des témoins de connexion pour mesurer l’audience. Tout accepter Refuser Paramètres", "En poursuivant votre navigation, vous acceptez la politique de confidentialité de {s}. Accepter Refuser", "Partager  Imprimer  Envoyer  {n} commentaires", "Vous êtes ici : Accueil › Collections › {t}",
+        "Prochainement : {t}. Réservez la date.", "Mots-clés : Projets, Archives, {p}", "Horaires : du mardi au dimanche, de 10 h à 17 h. Entrée {n} euros.", "Haut de page",
+        "Publicité. {t} — en librairie.", "Article précédent : {t}   Article suivant : {t}", "Les plus lus 1. {t} 2. {t}", "À propos de ce site : {s} est tenu par des bénévoles ; écrivez-nous pour signaler une erreur.",
+        "Ce site vous plaît ? {s} a besoin de vous : un don de {n} euros nous aide.", "À venir : {t}. Notez la date et invitez vos amis.", "Sur le même sujet : {t} / {t}", "Abonnez-vous à notre bulletin. Votre courriel. Envoyer",
+        "© {n} {s} – Crédits – Confidentialité – Contact", "Reproduction interdite sans autorisation. {s}, {p}. Page mise à jour le {d}", "Se connecter | S’inscrire | Mon panier ({n})", "Partager cet article  Envoyer à un ami  {n} réponses",
     ],
     "es": [
-        "Usamos cookies propias y de terceros para mejorar su visita. Aceptar Rechazar Configurar", "Si continúa navegando, acepta la política de privacidad de {s}. Rechazar Configurar Aceptar", "Suscríbase al boletín. Escriba su correo. Enviar", "© {n} {s}. Todos los derechos reservados. Aviso legal | Mapa web", "{s}, {p}. Última modificación: {d}. Volver arriba", "Entrar | Registrarse | Cesta ({n})", "Compartir  Imprimir  Guardar  {n} comentarios", "¿Le gusta? {s} vive de donativos; con {n} euros nos ayuda a seguir.",
-        "También le puede interesar: {t} / {t}", "Está en: Inicio > Noticias > {t}", "Próximamente: {t}. Reserve la fecha.", "Etiquetas: Noticias, Proyectos, {p}", "Horario: de martes a domingo, de 10 a 17. Entrada {n} euros.", "Publicidad. {t} — ya en librerías.", "Anterior: {t}   Siguiente: {t}", "Lo más leído 1. {t} 2. {t}",
+        "Usamos cookies propias y de terceros para mejorar su visita. Aceptar Rechazar Configurar", "Si continúa navegando, acepta la política de privacidad de {s}. Rechazar Configurar Aceptar", "Compartir  Imprimir  Guardar  {n} comentarios", "También le puede interesar: {t} / {t}",
+        "Está en: Inicio > Noticias > {t}", "Próximamente: {t}. Reserve la fecha.", "Etiquetas: Noticias, Proyectos, {p}", "Horario: de martes a domingo, de 10 a 17. Entrada {n} euros.",
+        "Publicidad. {t} — ya en librerías.", "Anterior: {t}   Siguiente: {t}", "Lo más leído 1. {t} 2. {t}", "Sobre este sitio: {s} lo mantienen voluntarios; escríbanos si encuentra un error.",
+        "Ayúdenos: {s} depende de sus lectores; con {n} euros puede colaborar.", "Agenda: {t}. Apunte la fecha e invite a sus amigos.", "Más sobre este tema: {t} / {t}", "Reciba nuestro boletín. Su correo electrónico. Suscribirse",
+        "© {n} {s}. Aviso legal | Privacidad | Contacto", "Prohibida la reproducción sin permiso. {s}, {p}. Actualizado el {d}. Arriba", "Iniciar sesión | Crear cuenta | Carrito ({n})", "Comparta este artículo  Envíe por correo  {n} respuestas",
+    ],
+    "pt": [
+        "Usamos cookies para melhorar a sua visita. Aceitar Rejeitar", "Assine o boletim. Escreva o seu e-mail. Enviar", "© {n} {s}. Todos os direitos reservados. Aviso legal | Mapa do site", "Entrar | Registar | Cesto ({n})",
+        "Partilhar  Imprimir  Guardar  {n} comentários", "Também lhe pode interessar: {t} / {t}", "Está em: Início > Notícias > {t}",
+    ],
+    "pl": [
+        "Ta strona używa plików cookie. Akceptuj wszystkie Odrzuć", "Zapisz się na biuletyn. Podaj adres e-mail. Wyślij", "© {n} {s}. Wszelkie prawa zastrzeżone. Regulamin | Mapa strony", "Zaloguj | Zarejestruj | Koszyk ({n})",
+        "Udostępnij  Drukuj  Zapisz  {n} komentarzy", "Zobacz także: {t} / {t}", "Jesteś tutaj: Start > Zbiory > {t}",
+    ],
+    "ru": [
+        "Мы используем файлы cookie. Принять все Отклонить", "Подпишитесь на рассылку. Введите адрес почты. Отправить", "© {n} {s}. Все права защищены. Условия | Карта сайта", "Войти | Регистрация | Корзина ({n})",
+        "Поделиться  Печать  Сохранить  {n} комментариев", "Читайте также: {t} / {t}", "Вы здесь: Главная > Новости > {t}",
+    ],
+    "zh": [
+        "本网站使用 Cookie。全部接受 拒绝", "订阅我们的通讯。输入电子邮件地址。提交", "© {n} {s} 版权所有 使用条款 | 隐私 | 网站地图", "登录 | 注册 | 购物车 ({n})",
+        "分享 打印 收藏 {n} 条评论", "相关文章：{t} / {t}",
+    ],
+    "ja": [
+        "このサイトはクッキーを使用します。すべて許可 拒否", "ニュースレターに登録。メールアドレスを入力。送信", "© {n} {s} 無断転載を禁じます 利用規約 | プライバシー | サイトマップ", "ログイン | 登録 | カート ({n})",
+        "共有 印刷 保存 コメント {n} 件", "関連記事：{t} / {t}",
     ],
-    "pt": ["Usamos cookies para melhorar a sua visita. Aceitar Rejeitar", "Assine o boletim. Escreva o seu e-mail. Enviar", "© {n} {s}. Todos os direitos reservados. Aviso legal | Mapa do site", "Entrar | Registar | Cesto ({n})", "Partilhar  Imprimir  Guardar  {n} comentários", "Também lhe pode interessar: {t} / {t}", "Está em: Início > Notícias > {t}"],
-    "pl": ["Ta strona używa plików cookie. Akceptuj wszystkie Odrzuć", "Zapisz się na biuletyn. Podaj adres e-mail. Wyślij", "© {n} {s}. Wszelkie prawa zastrzeżone. Regulamin | Mapa strony", "Zaloguj | Zarejestruj | Koszyk ({n})", "Udostępnij  Drukuj  Zapisz  {n} komentarzy", "Zobacz także: {t} / {t}", "Jesteś tutaj: Start > Zbiory > {t}"],
-    "ru": ["Мы используем файлы cookie. Принять все Отклонить", "Подпишитесь на рассылку. Введите адрес почты. Отправить", "© {n} {s}. Все права защищены. Условия | Карта сайта", "Войти | Регистрация | Корзина ({n})", "Поделиться  Печать  Сохранить  {n} комментариев", "Читайте также: {t} / {t}", "Вы здесь: Главная > Новости > {t}"],
-    "zh": ["本网站使用 Cookie。全部接受 拒绝", "订阅我们的通讯。输入电子邮件地址。提交", "© {n} {s} 版权所有 使用条款 | 隐私 | 网站地图", "登录 | 注册 | 购物车 ({n})", "分享 打印 收藏 {n} 条评论", "相关文章：{t} / {t}"],
-    "ja": ["このサイトはクッキーを使用します。すべて許可 拒否", "ニュースレターに登録。メールアドレスを入力。送信", "© {n} {s} 無断転載を禁じます 利用規約 | プライバシー | サイトマップ", "ログイン | 登録 | カート ({n})", "共有 印刷 保存 コメント {n} 件", "関連記事：{t} / {t}"],
 }
 # Words of menus.
 MENUS = {
@@ -88,7 +118,13 @@ _WORD = re.compile(r"[^\W\d_]+")
 _SEPARATOR = re.compile(r"\s*(?:[|•·›»>/]|\s–\s|\n|\s{2,})\s*")
 _SENTENCE = re.compile(r"[.?!。！？][\"'”’»)\]]*(?:\s|$)")
 _FUNCTION = frozenset("the of and to in a is was that it as for with on by from which or der die das und in den von zu mit des auf für ist im dem ein eine als le la les de des du et en un une dans que qui pour par sur el los las del y que por con para se es una o da do dos das em um w na z do nie się i в на с по не что".split())
-SHAPES = 15
+_MARK = re.compile(r"\s*(?:[-*•]|\d+[.)])\s+\S")
+SHAPES = 16
+
+
+def marked_list(block: str) -> bool:
+    lines = block.strip().split("\n")
+    return len(lines) > 1 and all(_MARK.match(x) for x in lines)
 
 
 def shape(block: str) -> list[float]:
@@ -99,10 +135,11 @@ def shape(block: str) -> list[float]:
     sentences = len(_SENTENCE.findall(block))
     function = sum(w.lower() in _FUNCTION for w in words) / max(1, n)
     stripped = block.rstrip()
+    small = [w for w in words if w.islower()] if n >= 6 and not sentences else []
     return [
         min(n, 60) / 30, float(n >= 25), math.log1p(len(block)) / 6, short / max(1, len(items)) if len(items) > 2 else 0.0, min(len(items), 12) / 6 if len(items) > 2 else 0.0, function, float(stripped[-1:] in ".?!。！？"), min(sentences, 6) / 3,
         sum(w[:1].isupper() for w in words) / max(1, n), float("©" in block), float("  " in block), sum(c.isdigit() for c in block) / max(1, len(block)), float(n < 12 and sentences == 0 and len(items) <= 2), float(bool(re.match(r"\s*(?:[-*•]|\d+[.)]|Fig\.|Abb\.|Tab\.|Table|Figure)\s", block))),
-        float(len(lines := block.strip().split("\n")) > 1 and all(re.match(r"\s*(?:[-*•]|\d+[.)])\s+\S", x) for x in lines)),
+        float(marked_list(block)), float(len(small) == n > 0 and small == sorted(small)),
     ]
 
 
@@ -117,11 +154,12 @@ def indices(block: str) -> list[int]:
 
 def design(blocks: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Sparse rows (row, column, value) and the shapes of the blocks."""
-    idx = [indices(b) for b in blocks]
+    once = {b: (indices(b), shape(b)) for b in dict.fromkeys(blocks)}
+    idx = [once[b][0] for b in blocks]
     rows = np.repeat(np.arange(len(blocks)), [len(i) for i in idx])
     cols = np.fromiter((c for i in idx for c in i), dtype=np.int64, count=len(rows))
     values = np.repeat([1 / math.sqrt(max(1, len(i))) for i in idx], [len(i) for i in idx])
-    return rows, cols, values, np.array([shape(b) for b in blocks], dtype=float).reshape(-1, SHAPES)
+    return rows, cols, values, np.array([once[b][1] for b in blocks], dtype=float).reshape(-1, SHAPES)
 
 
 class Classifier:
@@ -168,6 +206,9 @@ def labelled_furniture(titles: list[str], seed: int = 7, copies: int = 14) -> li
                 s = re.sub(r"\{t\}", lambda m: rng.choice(titles), p)
                 s = s.replace("{s}", site()).replace("{p}", place()).replace("{d}", f"{rng.randint(1, 28):02}.{rng.randint(1, 12):02}.{rng.randint(2005, 2024)}")
                 out.append(re.sub(r"\{n\}", lambda m: str(rng.randint(1, 2024)), s))
+    pool = sorted({w.lower() for t in titles for w in _WORD.findall(t) if len(w) > 3} - _FUNCTION)
+    for _ in range(copies * 6):  # clouds of tags, in the order of the alphabet
+        out.append(rng.choice([" ", " ", ", "]).join(sorted(rng.sample(pool, min(len(pool), rng.randint(6, 16))))))
     for entries in MENUS.values():
         words = entries[0].split() + entries[1:]
         for _ in range(copies * 6):
@@ -214,10 +255,16 @@ def fit_ties(sections: list[tuple[str, list[float]]]) -> tuple[float, float]:
     return float(page), float(section)
 
 
+def label_pages(hand: np.ndarray, like: np.ndarray, blocks: list[str]) -> np.ndarray:
+    """1 body, 0 furniture, -1 unlabelled, from the log odds of the hand labels and the probabilities under the sources."""
+    body = (hand > SURE) | np.fromiter(map(marked_list, blocks), dtype=bool, count=len(blocks))
+    furniture = ~body & ((hand < -SURE) | (like < UNLIKE) & (hand < DOUBT))
+    return np.where(furniture, 0, np.where(body, 1, -1))
+
+
 def fit_on_labelled(titles: list[str], body: list[str], pages: list[str], keys: list[str] | None = None) -> Classifier:
-    """First on the labelled furniture, titles and body texts; then with the surest blocks of the pages as well;
-    last the potentials between parents and children, on the pages as then labelled."""
-    rng = random.Random(11)
+    """First on the hand-labelled furniture, titles and body texts; then with the blocks of the pages that the two
+    witnesses label; last the potentials between parents and children, on the pages as then labelled."""
     furniture = labelled_furniture(titles)
     prose = [b for t in body for b in split_blocks(t) if b.strip()]
     pieces = [s for t in prose[:: 3] for s in re.split(r"(?<=[.?!。]) +", t)[:2] if len(s) > 15]
@@ -225,13 +272,12 @@ def fit_on_labelled(titles: list[str], body: list[str], pages: list[str], keys:
     blocks = furniture + good
     y = np.array([0] * len(furniture) + [1] * len(good))
     first = Classifier().fit(blocks, y)
-    seen = [b for t in pages for b in split_blocks(t) if b.strip()]
-    rng.shuffle(seen)
+    seen = sorted({b for t in pages for b in split_blocks(t) if b.strip()})
     if not seen:
         return first
-    p = 1 / (1 + np.exp(-first.logits(seen)))
-    more = [(b, q > 0.5) for b, q in zip(seen, p.tolist()) if q > SURE or q < 1 - SURE]
-    final = Classifier().fit(blocks + [b for b, _ in more], np.concatenate((y, [int(v) for _, v in more])))
+    sources = Classifier().fit(good + seen, np.array([1] * len(good) + [0] * len(seen)), rounds=120)
+    labels = label_pages(first.logits(seen), 1 / (1 + np.exp(-sources.logits(seen))), seen)
+    final = Classifier().fit(blocks + [b for b, v in zip(seen, labels) if v >= 0], np.concatenate((y, labels[labels >= 0])))
     per = [[b for b in split_blocks(t) if b.strip()] for t in pages]
     q = 1 / (1 + np.exp(-final.logits([b for bs in per for b in bs])))
     ends = np.cumsum([len(bs) for bs in per])
@@ -289,18 +335,23 @@ def judged(chunks: DataFrame, model: Classifier, *, page: str = "attachmentKey",
 
     key = F.coalesce(F.col(page), F.substring_index(F.col(section), ":", 1)).alias(page)
     kept = chunks.where(F.col(text).isNotNull()).select(key, section, text)
-    return marginals(kept.mapInArrow(run, schema).dropDuplicates([section]), page, section, model.ties)
+    # rows of a chunk whose texts differ: the greatest blocks, the same on every run
+    judged = kept.mapInArrow(run, schema).groupBy(section).agg(F.max(F.struct(page, "logits")).alias("m")).select(F.col(f"m.{page}").alias(page), section, F.col("m.logits").alias("logits"))
+    return marginals(judged, page, section, model.ties)
 
 
 def trained(chunks: DataFrame) -> Classifier:
-    """Fitted on bounded samples, chosen by a hash of the text: body of other sources, titles, blocks of pages."""
+    """Fitted on bounded samples, the rows of least hash whatever their order: body of other sources, titles, whole pages."""
     is_page = F.col("chunk_id").contains(":html:")
-    picked = lambda df, most: [r[0] for r in df.where(F.pmod(F.xxhash64("v"), F.lit(4)) == 0).limit(most).collect()]
+
+    def picked(df: DataFrame, most: int, *by: str) -> list[tuple]:
+        least = df.distinct().orderBy(F.xxhash64(*by), *df.columns).limit(most)
+        return sorted(tuple(r) for r in least.collect())
+
     # sentences of sources without furniture; scans bring running headers, so notes and books only
-    body = picked(chunks.where(F.col("chunk_id").rlike(":(epub|note):") & F.col("text").isNotNull() & (F.length("text") < 3000)).select(F.col("text").alias("v")), BODY_ROWS)
-    titles = picked(chunks.where(is_page & F.col("title").isNotNull()).select(F.col("title").alias("v")).distinct(), TITLE_ROWS)
+    body = picked(chunks.where(F.col("chunk_id").rlike(":(epub|note):") & F.col("text").isNotNull() & (F.length("text") < 3000)).select("text"), BODY_ROWS, "text")
+    titles = picked(chunks.where(is_page & F.col("title").isNotNull()).select("title"), TITLE_ROWS, "title")
     # whole pages, so that the ties between sections can be counted
     of_page = F.substring_index("chunk_id", ":", 1)
-    sampled = chunks.where(is_page & F.col("text").isNotNull() & (F.length("text") < 5000) & (F.pmod(F.xxhash64(of_page), F.lit(4)) == 0)).select(of_page.alias("k"), F.col("text").alias("v")).limit(PAGE_ROWS)
-    rows = sorted(set(map(tuple, sampled.collect())))
-    return fit_on_labelled(sorted(titles), sorted(body), [v for _, v in rows], [k for k, _ in rows])
+    pages = picked(chunks.where(is_page & F.col("text").isNotNull() & (F.length("text") < 5000)).select(of_page.alias("page"), "text"), PAGE_ROWS, "page")
+    return fit_on_labelled([t for t, in titles], [t for t, in body], [t for _, t in pages], [k for k, _ in pages])
