@@ -344,14 +344,21 @@ def trained(chunks: DataFrame) -> Classifier:
     """Fitted on bounded samples, the rows of least hash whatever their order: body of other sources, titles, whole pages."""
     is_page = F.col("chunk_id").contains(":html:")
 
-    def picked(df: DataFrame, most: int, *by: str) -> list[tuple]:
-        least = df.distinct().orderBy(F.xxhash64(*by), *df.columns).limit(most)
-        return sorted(tuple(r) for r in least.collect())
+    def picked(df: DataFrame, among: DataFrame, most: int, by: str) -> list[tuple]:
+        """Rows of least hash of ``by``.  A share of the rows, twice as many as are wanted, is cut off by the hash
+        before they are ordered, since every task sends its best to the driver."""
+        grain = 1 << 20
+        share = math.ceil(grain * min(1.0, 2 * most / max(1, among.count())))
+        cut = df.where(F.pmod(F.xxhash64(by), F.lit(grain)) < share)
+        return sorted({tuple(r) for r in cut.orderBy(F.pmod(F.xxhash64(by), F.lit(grain)), *df.columns).limit(most).collect()})
 
     # sentences of sources without furniture; scans bring running headers, so notes and books only
-    body = picked(chunks.where(F.col("chunk_id").rlike(":(epub|note):") & F.col("text").isNotNull() & (F.length("text") < 3000)).select("text"), BODY_ROWS, "text")
-    titles = picked(chunks.where(is_page & F.col("title").isNotNull()).select("title"), TITLE_ROWS, "title")
+    sources = chunks.where(F.col("chunk_id").rlike(":(epub|note):"))
+    body = picked(sources.where(F.col("text").isNotNull() & (F.length("text") < 3000)).select("text"), sources.select("chunk_id"), BODY_ROWS, "text")
+    named = chunks.where(is_page & F.col("title").isNotNull()).select("title").distinct()
+    titles = picked(named, named, TITLE_ROWS, "title")
     # whole pages, so that the ties between sections can be counted
-    of_page = F.substring_index("chunk_id", ":", 1)
-    pages = picked(chunks.where(is_page & F.col("text").isNotNull() & (F.length("text") < 5000)).select(of_page.alias("page"), "text"), PAGE_ROWS, "page")
+    on_pages = chunks.where(is_page)
+    of_page = F.substring_index("chunk_id", ":", 1).alias("page")
+    pages = picked(on_pages.where(F.col("text").isNotNull() & (F.length("text") < 5000)).select(of_page, "text"), on_pages.select("chunk_id"), PAGE_ROWS, "page")
     return fit_on_labelled([t for t, in titles], [t for t, in body], [t for _, t in pages], [k for k, _ in pages])
