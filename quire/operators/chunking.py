@@ -1,37 +1,63 @@
 """Documents to chunks: paragraphs, parts, short ones merged, with positional ids.
 
-All of it happens within a row (arrays, no shuffle); only repeated lines of PDF pages need a look at the
+Paragraphs are expressions, parts and merges one pass of Arrow batches, all within a row (no shuffle); only repeated lines of PDF pages need a look at the
 other pages of their document (``pdfnoise``)."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quire.config import DEFAULT, EngineConfig
+from quire.functions import passages
 from quire.functions import text as t
+from quire.runtime import ship
 
 
-def _records(paras: Column, owner: Column, kind: Column, config: EngineConfig, chapters: Column | None = None) -> Column:
-    """array<RECORD> of the parts with the hard minimum length; part indexes of shorter ones stay consumed."""
+def parts_of(c: Column, config: EngineConfig = DEFAULT) -> Column:
+    """array<string>: the parts of a long text; null for null."""
 
-    def of_para(p: Column, i: Column) -> Column:
-        chapter = F.element_at(chapters, i + 1) if chapters is not None else F.lit(None).cast("int")
-        locator = F.concat(kind, F.lit(":para"), i)
-        return F.transform(
-            t.split_long(p, config),
-            lambda part, j: F.struct(F.concat(owner, F.lit(":"), locator, F.lit(":part"), j).alias("chunk_id"), t.strip(part).alias("text"), locator.alias("locator"), i.alias("para_index"), j.alias("part_index"), chapter.alias("chapter_index")),
-        )
+    @F.pandas_udf("array<string>")
+    def run(s: pd.Series) -> pd.Series:
+        return s.map(lambda text: passages.split_long(text, config), na_action="ignore")
+
+    return run(c)
+
+
+def assembled(df: DataFrame, owner: str, paras: str, kind: Column, sample: Column, keep: list[str], config: EngineConfig, chapters: str | None = None) -> DataFrame:
+    """The chunks of the paragraphs in an array column: split, short ones merged, with positional ids.
 
-    parts = F.flatten(F.transform(paras, of_para))
-    return F.filter(parts, lambda r: F.length(r["text"]) >= config.hard_min_chars)
+    One pass of Arrow batches; only the columns of ``keep`` go along."""
+    ship(df.sparkSession)
+    fields = [df.schema[k] for k in keep]
+    schema = T.StructType(fields + T.StructType.fromDDL(_OUT).fields)
+    least = t.min_chunk_chars(sample, config)
+    source = df.select(*keep, F.col(owner).cast("string").alias("__owner"), kind.alias("__kind"), least.alias("__least"), F.col(paras).alias("__paras"), (F.col(chapters) if chapters else F.lit(None).cast("array<int>")).alias("__chapters"))
+    n = len(keep)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows: list[int] = []
+            out: list[passages.Chunk] = []
+            for i, (key, what, short, texts, places) in enumerate(zip(*(batch.column(n + k).to_pylist() for k in range(5)))):
+                # a document without an owner has no ids, and so no chunks
+                found = passages.merge_short(passages.records(key, what, texts or [], places, config), short, config) if key is not None else []
+                rows += [i] * len(found)
+                out += found
+            at = pa.array(rows, pa.int64())
+            columns = list(zip(*out)) or [()] * len(_TYPES)
+            yield pa.RecordBatch.from_arrays([batch.column(i).take(at) for i in range(n)] + [pa.array(c, kind) for c, kind in zip(columns, _TYPES)], names=schema.names)
 
-_OUT = ["chunk_id", "text", "locator", "para_index", "part_index", "chapter_index", "merged", "merge_count", "locator_end"]
+    return source.mapInArrow(run, schema)
 
 
-def _explode(df: DataFrame, merged: Column, keep: list[str]) -> DataFrame:
-    return df.select(*keep, F.explode(merged).alias("__c")).select(*keep, *(F.col(f"__c.{n}").alias(n) for n in _OUT))
+_OUT = "chunk_id string, text string, locator string, para_index int, part_index int, chapter_index int, merged boolean, merge_count int, locator_end string"
+_TYPES = [pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.int32(), pa.string()]
 
 
 def _sample(paras: Column) -> Column:
@@ -46,8 +72,7 @@ def chunk_text(df: DataFrame, owner: str, raw: str, kind: str, keep: list[str],
     df = df.withColumn("__clean", t.clean(F.col(raw)))
     df = df.withColumn("__paras", t.once(t.paragraphs(F.col("__clean"), t.joiner(F.substring("__clean", 1, t.SAMPLE_CHARS)))))
     df = df.withColumn("__sample", F.col("__clean") if whole_sample else _sample(F.col("__paras"))).where((F.size("__paras") > 0) & ~t.is_gibberish(F.col("__sample")))
-    df = df.withColumn("__records", t.once(_records(F.col("__paras"), F.col(owner), F.lit(kind), config))).withColumn("__least", t.once(t.min_chunk_chars(F.col("__sample"), config)))
-    return _explode(df, t.merge_short(F.col("__records"), F.col("__least"), config), keep)
+    return assembled(df, owner, "__paras", F.lit(kind), F.col("__sample"), keep, config)
 
 
 def chunk_html(df: DataFrame, owner: str, raw: str, keep: list[str], *, config: EngineConfig = DEFAULT) -> DataFrame:
@@ -69,15 +94,13 @@ def chunk_epub(chapters: DataFrame, owner: str, keep: list[str], *, chapter: str
     flat = F.flatten(F.transform("__book", lambda b: F.transform(F.coalesce(b["p"], F.array().cast("array<string>")), lambda p: F.struct(b["c"].alias("c"), p.alias("p")))))
     books = books.withColumn("__flat", flat).withColumn("__paras", F.transform("__flat", lambda x: x["p"])).withColumn("__sample", _sample(F.col("__paras")))
     books = books.where((F.size("__paras") > 0) & ~t.is_gibberish(F.col("__sample")))
-    records = _records(F.col("__paras"), F.col(owner), F.lit("epub"), config, F.transform("__flat", lambda x: x["c"]))
-    return _explode(books, t.merge_short(records, t.min_chunk_chars(F.col("__sample"), config), config), keep)
+    return assembled(books.withColumn("__of", F.transform("__flat", lambda x: x["c"].cast("int"))), owner, "__paras", F.lit("epub"), F.col("__sample"), keep, config, "__of")
 
 
 def chunk_pages(pages: DataFrame, owner: str, page: str, paras: str, keep: list[str], *, config: EngineConfig = DEFAULT) -> DataFrame:
     """Chunks of PDF pages (one row per page, paragraphs in an array); a gibberish page gives none."""
     df = pages.withColumn("__sample", F.array_join(paras, "\n\n")).where((F.size(paras) > 0) & ~t.is_gibberish(F.col("__sample")))
-    records = _records(F.col(paras), F.col(owner), F.concat(F.lit("p"), F.col(page)), config)
-    return _explode(df, t.merge_short(records, t.min_chunk_chars(F.col("__sample"), config), config), [*keep, page] if page not in keep else keep)
+    return assembled(df, owner, paras, F.concat(F.lit("p"), F.col(page)), F.col("__sample"), [*keep, page] if page not in keep else keep, config)
 
 
 def merge_blocks(blocks: DataFrame, *, config: EngineConfig = DEFAULT) -> DataFrame:

@@ -29,10 +29,11 @@ def neighbour_ids(c: Column, window: int) -> Column:
     return F.when(p.isNull(), F.array().cast("array<string>")).otherwise(F.transform(around, lambda i: F.concat(base, i, F.lit(":part0"))))
 
 
-def neighbours(hits: DataFrame, chunks: DataFrame, window: int, key: str = "chunk_id") -> DataFrame:
-    """(hit, id, para_index, page, citation, text) of what is there around each hit: an equi-join on enumerated ids."""
+def neighbours(hits: DataFrame, chunks: DataFrame, window: int, key: str = "chunk_id", *, bounded: bool = False) -> DataFrame:
+    """(hit, id, para_index, page, citation, text) of what is there around each hit: an equi-join on enumerated ids,
+    which are sent to the chunks where the caller knows their number to be ``bounded``."""
     wanted = hits.select(F.col(key).alias("hit")).distinct().select("hit", F.explode(neighbour_ids(F.col("hit"), window)).alias("chunk_id"))
-    found = wanted.join(chunks.select("chunk_id", "text", "title", "year", "page", "page_label"), "chunk_id")
+    found = chunks.select("chunk_id", "text", "title", "year", "page", "page_label").join(F.broadcast(wanted) if bounded else wanted, "chunk_id")
     shown = citation(F.col("title"), F.col("year"), F.col("page"), F.col("page_label"))
     return found.select("hit", F.col("chunk_id").alias("id"), parse_id(F.col("chunk_id"))["para_index"].alias("para_index"), "page", shown.alias("citation"), "text")
 
@@ -40,16 +41,16 @@ def neighbours(hits: DataFrame, chunks: DataFrame, window: int, key: str = "chun
 _CONTEXT = "array<struct<id: string, page: int, citation: string, text: string>>"
 
 
-def with_context(hits: DataFrame, chunks: DataFrame, window: int, key: str = "chunk_id") -> DataFrame:
+def with_context(hits: DataFrame, chunks: DataFrame, window: int, key: str = "chunk_id", *, bounded: bool = False) -> DataFrame:
     """``context``: the neighbours with text, in order of paragraphs; empty for a window of 0."""
     if window <= 0:
         return hits.withColumn("context", F.array().cast(_CONTEXT))
-    around = neighbours(hits, chunks, window, key).where(strip(F.coalesce("text", F.lit(""))) != "")
+    around = neighbours(hits, chunks, window, key, bounded=bounded).where(strip(F.coalesce("text", F.lit(""))) != "")
     per = around.groupBy("hit").agg(F.transform(F.array_sort(F.collect_list(F.struct("para_index", "id", "page", "citation", "text"))), lambda x: F.struct(x["id"].alias("id"), x["page"].alias("page"), x["citation"].alias("citation"), x["text"].alias("text"))).alias("context"))
     return hits.join(per.withColumnRenamed("hit", key), key, "left").withColumn("context", F.coalesce("context", F.array().cast(_CONTEXT)))
 
 
-def context_texts(hits: DataFrame, chunks: DataFrame, window: int = 2, key: str = "chunk_id") -> DataFrame:
+def context_texts(hits: DataFrame, chunks: DataFrame, window: int = 2, key: str = "chunk_id", *, bounded: bool = False) -> DataFrame:
     """(hit, context_text, chunk_ids_included): neighbouring texts joined by empty lines, in order of paragraphs."""
-    per = neighbours(hits, chunks, window, key).groupBy("hit").agg(F.array_sort(F.collect_list(F.struct("para_index", "id", "text"))).alias("__c"))
+    per = neighbours(hits, chunks, window, key, bounded=bounded).groupBy("hit").agg(F.array_sort(F.collect_list(F.struct("para_index", "id", "text"))).alias("__c"))
     return per.select("hit", F.array_join(F.transform("__c", lambda x: F.coalesce(x["text"], F.lit(""))), "\n\n").alias("context_text"), F.transform("__c", lambda x: x["id"]).alias("chunk_ids_included"))

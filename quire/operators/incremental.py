@@ -65,11 +65,13 @@ def to_process(spark: SparkSession, sf_dir: str) -> DataFrame:
 class Ledger:
     """Manifest and outputs of an incremental job in one shared folder.
 
-    ``data/batch=ID`` holds what a batch wrote, ``manifest/batch=ID`` its committed entries (input key,
-    state and checksum).  Any file system Hadoop knows will do."""
+    ``data/batch=ID`` holds what a batch wrote, ``manifest/batch=ID`` its committed entries: input key, state
+    and a checksum over ``content`` columns of the listing (the state alone, where none are named).  The file system must rename
+    folders in one step, as HDFS and local disks do."""
 
-    def __init__(self, spark: SparkSession, folder: str, key: str, state: list[str]) -> None:
+    def __init__(self, spark: SparkSession, folder: str, key: str, state: list[str], content: list[str] | None = None) -> None:
         self.spark, self.folder, self.key, self.state = spark, folder.rstrip("/"), key, state
+        self.content = [key, *(content or state)]
         jvm = spark.sparkContext._jvm
         self._path = jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
@@ -83,12 +85,13 @@ class Ledger:
     def manifest(self, like: DataFrame) -> DataFrame:
         """Committed entries of all batches; empty with the columns of ``like`` before the first.
 
-        A batch shadows earlier ones in the order of their identifiers."""
+        A batch shadows earlier ones: identifiers are numbers, or of one length."""
         columns = [self.key, *self.state]
         if not self._exists(f"{self.folder}/manifest"):
             return like.select(*columns).limit(0)
         seen = self.spark.read.option("basePath", f"{self.folder}/manifest").parquet(f"{self.folder}/manifest/batch=*")
-        return current_state(seen.withColumn("batch", F.col("batch").cast("string")), self.key, self.state, seen="batch")
+        order = F.struct(F.length(F.col("batch").cast("string")).alias("digits"), F.col("batch").cast("string").alias("batch"))
+        return current_state(seen.withColumn("batch", order), self.key, self.state, seen="batch")
 
     def pending(self, listing: DataFrame) -> DataFrame:
         """Rows of the listing (one per key) that no committed batch recorded in this state."""
@@ -106,7 +109,7 @@ class Ledger:
         rows = self.spark.read.parquet(staged)
         process(rows).write.mode("overwrite").parquet(f"{self.folder}/data/batch={batch}")
         entries = f"{self.folder}/staging/manifest-{batch}"
-        rows.select(self.key, *self.state, F.xxhash64(self.key, *self.state).alias("checksum")).write.mode("overwrite").parquet(entries)
+        rows.select(self.key, *self.state, F.xxhash64(*self.content).alias("checksum")).write.mode("overwrite").parquet(entries)
         self._fs.mkdirs(self._path(f"{self.folder}/manifest"))
         if not self._fs.rename(self._path(entries), self._path(f"{self.folder}/manifest/batch={batch}")):
             raise RuntimeError(f"batch {batch} could not be committed")

@@ -119,6 +119,16 @@ def best_first(fused: DataFrame, k: int) -> DataFrame:
 HIT_META = ["title", "year", "creators", "page", "page_label", "pdf_path", "path", "itemKey", "attachmentKey", "noteKey", "source_type", "locator", "contentType", "filename"]
 
 
+#: Fused hits up to which they are sent to every executor; more are joined by a shuffle.
+BROADCAST_HITS = 200_000
+
+
+def _bounded(hits: DataFrame, queries: DataFrame, n: int) -> DataFrame:
+    """Hits of ``queries`` (n each, at most) as the small side of a join, where the bound is small indeed: then the
+    chunks and their texts are not shuffled."""
+    return F.broadcast(hits) if queries.count() * max(0, n) <= BROADCAST_HITS else hits
+
+
 def search_passages(
     queries: DataFrame, chunks: DataFrame, k: int = 5, where: dict | None = None, context_window: int = 0, include_notes: bool = False, include_item_keys: list[str] | None = None, exclude_chunk_ids: list[str] | None = None, *, config: EngineConfig = DEFAULT
 ) -> DataFrame:
@@ -129,20 +139,20 @@ def search_passages(
     Text and metadata join only for fused hits."""
     excluded = list(exclude_chunk_ids or [])
     eligible = chunks.where(compile_where(effective(where, include_notes=include_notes, item_keys=include_item_keys)))
-    hits = nearest(queries, eligible, 5 * k + len(excluded) if k > 0 else 0)
-    fused = fuse_passages(hits, k=config.rrf_k)
+    n = 5 * k + len(excluded) if k > 0 else 0
+    fused = fuse_passages(nearest(queries, eligible, n), k=config.rrf_k)
     if excluded:
         fused = fused.where(~F.col("chunk_id").isin(excluded))
-    rich = chunks.join(fused, "chunk_id").where(F.length(F.regexp_replace(F.coalesce("text", F.lit("")), r"(?U)^\s+|\s+$", "")) >= config.min_return_chars)
+    rich = chunks.join(_bounded(fused, queries, n), "chunk_id").where(F.length(F.regexp_replace(F.coalesce("text", F.lit("")), r"(?U)^\s+|\s+$", "")) >= config.min_return_chars)
     top = best_first(rich, k)
-    out = with_context(top, chunks, context_window).orderBy(F.desc("rrf_score"), "first_q", "first_rank")
+    out = with_context(top, chunks, context_window, bounded=k <= BROADCAST_HITS).orderBy(F.desc("rrf_score"), "first_q", "first_rank")
     return out.select(F.col("chunk_id").alias("id"), "distance", "rrf_score", citation(F.col("title"), F.col("year"), F.col("page"), F.col("page_label")).alias("citation"), "text", "context", F.struct(*HIT_META).alias("meta"))
 
 
 def search_items(queries: DataFrame, chunks: DataFrame, k: int = 10, where: dict | None = None, include_notes: bool = False, include_item_keys: list[str] | None = None, *, config: EngineConfig = DEFAULT) -> DataFrame:
     """itemKey, title, year, creators, source_type, distance, rrf_score of the best items; texts are never read."""
     eligible = chunks.where(compile_where(effective(where, include_notes=include_notes, item_keys=include_item_keys)))
-    hits = nearest(queries, eligible, max(10 * k, 100) if k > 0 else 0)
+    n = max(10 * k, 100) if k > 0 else 0
     meta = chunks.select("chunk_id", "itemKey", "title", "year", "creators", "source_type")
-    fused = fuse_items(meta.join(hits, "chunk_id"), k=config.rrf_k)
+    fused = fuse_items(meta.join(_bounded(nearest(queries, eligible, n), queries, n), "chunk_id"), k=config.rrf_k)
     return best_first(fused, k).drop("first_q", "first_rank")

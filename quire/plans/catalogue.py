@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quire.functions import text as t
 from quire.operators import chunking, context, incremental, index, items, pdfnoise, search, where
-from quire.runtime import table
+from quire.runtime import ship, table
 
 # --- shared pieces ---------------------------------------------------------------------------------------
 
@@ -214,8 +214,8 @@ def sentence_split(spark: SparkSession, d: str) -> DataFrame:
 
 
 def split_long(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "documents").where("text IS NOT NULL")
-    return rows.select("doc_id", F.posexplode(t.split_long(F.col("text"))).alias("part_index", "part"))
+    ship(spark)
+    return table(spark, d, "documents").select("doc_id", F.posexplode(chunking.parts_of(F.col("text"))).alias("part_index", "part"))
 
 
 def html_strip(spark: SparkSession, d: str) -> DataFrame:

@@ -1,5 +1,7 @@
 from pyspark.sql import functions as F
 
+from quire.config import DEFAULT
+from quire.functions import text as t
 from quire.functions.text import strip
 from quire.operators import chunking, pdfnoise
 
@@ -58,3 +60,23 @@ def test_pages_have_their_own_paragraph_count(spark):
     p = spark.createDataFrame([("A", 1, [text, text]), ("A", 2, [text]), ("A", 3, ["!" * 60]), ("A", 4, [])], "attachmentKey string, page int, paras array<string>")
     out = chunking.chunk_pages(p, "attachmentKey", "page", "paras", ["attachmentKey", "page"])
     assert sorted(r.chunk_id for r in out.collect()) == ["A:p1:para0:part0", "A:p1:para1:part0", "A:p2:para0:part0"]
+
+
+def test_batches_equal_the_folds(spark, small):
+    """Splitting and merging in Arrow batches against the folds over columns, on whole tables and hard cases."""
+    hard = ["", "   ", None, "a" * 3000, "\u4e00" * 2500, "\u3002".join("\u6f22\u5b57" * 40 for _ in range(40)), "x. " * 900, "no end " * 400, "One. \u00a0Two.\x1fThree." * 120, "a.b" * 900, ("word " * 100 + ". ") * 30]
+    rows = [(f"h{i}", x) for i, x in enumerate(hard)] + [(None, "words of a document without an owner " * 9)]
+    docs = spark.read.parquet(f"{small}/documents.parquet").select(F.col("doc_id").cast("string").alias("owner"), "text").unionByName(spark.createDataFrame(rows, "owner string, text string"))
+    both = docs.select("owner", t.split_long(F.col("text")).alias("fold"), chunking.parts_of(F.col("text")).alias("batch"))
+    assert both.where("NOT fold <=> batch").count() == 0 and both.where("size(batch) > 3").count() > 5
+    paras = docs.select("owner", F.col("text").alias("sample"), t.paragraphs(t.clean(F.col("text")), t.joiner(F.col("text"))).alias("paras")).where("owner IS NOT NULL AND paras IS NOT NULL")
+    got = chunking.assembled(paras, "owner", "paras", F.lit("html"), F.col("sample"), ["owner"], DEFAULT)
+
+    def of_para(p, i):
+        locator = F.concat(F.lit("html:para"), i)
+        return F.transform(t.split_long(p), lambda part, j: F.struct(F.concat(F.col("owner"), F.lit(":"), locator, F.lit(":part"), j).alias("chunk_id"), t.strip(part).alias("text"), locator.alias("locator"), i.alias("para_index"), j.alias("part_index"), F.lit(None).cast("int").alias("chapter_index")))
+
+    records = F.filter(F.flatten(F.transform("paras", of_para)), lambda r: F.length(r["text"]) >= DEFAULT.hard_min_chars)
+    want = paras.select("owner", F.explode(t.merge_short(records, t.min_chunk_chars(F.col("sample")))).alias("c")).select("owner", *(F.col(f"c.{n}").alias(n) for n in got.columns[1:]))
+    key = lambda r: str(r.asDict())
+    assert sorted(map(key, got.collect())) == sorted(map(key, want.collect())) and got.count() > 100
