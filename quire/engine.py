@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +13,8 @@ from quire.functions.embedding import Embedder, HashingEmbedder, embed
 from quire.operators import chunking, context, incremental, index, items, search
 from quire.operators.pdfnoise import without_noise
 from quire.runtime import checkpointed
+from quire.schemas import MANIFEST_FILES, MANIFEST_NOTES
+from quire.sources import files
 
 
 class Engine:
@@ -33,7 +36,11 @@ class Engine:
         return items.dedupe_last(items.unwrap(self.items_raw), "key", "seq")
 
     def get_item_details(self, item_key: str) -> DataFrame:
-        return self.items().where(F.col("key") == item_key).select("key", "data").limit(1)
+        """The item; filtered before repeated ones are gathered, so a lookup is a scan without a shuffle of the library."""
+        if self.items_raw is None:
+            raise ValueError("the engine was made without items")
+        one = items.unwrap(self.items_raw).where(F.col("key") == item_key)
+        return items.dedupe_last(one, "key", "seq").select("key", "data")
 
     def list_recent_items(self, limit: int = 20) -> DataFrame:
         flat = self.items().select("key", F.col("data.itemType").alias("itemType"), F.col("data.title").alias("title"), F.col("data.creators").alias("creators"), F.col("data.date").alias("date"), F.col("data.dateModified").alias("dateModified"))
@@ -60,8 +67,8 @@ class Engine:
         one = self.spark.createDataFrame([(chunk_id,)], "chunk_id string")
         if window <= 0 or one.select(context.parse_id(F.col("chunk_id"))).first()[0] is None:
             return {"error": f"invalid chunk id or window: {chunk_id}, {window}"}
-        chunks = self.collection.read()
-        found = context.context_texts(one, chunks, window).first()
+        chunks = self.collection.near(one)
+        found = context.context_texts(one, chunks, window, bounded=True).first()
         if not found or not found.chunk_ids_included:
             return {"error": f"nothing found around {chunk_id}"}
         at = chunk_id if chunk_id in found.chunk_ids_included else found.chunk_ids_included[0]
@@ -94,34 +101,66 @@ class Engine:
         meta = items.chunk_base(attachments).drop("noteKey", "source_type")
         return out.join(meta, "attachmentKey").withColumn("owner_key", F.col("attachmentKey")).withColumn("source_type", F.lit("pdf"))
 
-    def sync_notes(self, notes: DataFrame, manifest: DataFrame) -> dict:
+    def epub_chunks(self, chapters: DataFrame, attachments: DataFrame) -> DataFrame:
+        """Chunks of EPUB chapters (attachmentKey, chapter_index, html)."""
+        out = chunking.chunk_epub(chapters.where("html IS NOT NULL"), "attachmentKey", ["attachmentKey"], config=self.config)
+        meta = items.chunk_base(attachments).drop("noteKey", "source_type")
+        return out.join(meta, "attachmentKey").withColumn("owner_key", F.col("attachmentKey")).withColumn("source_type", F.lit("epub"))
+
+    def sync_notes(self, notes: DataFrame, manifest: DataFrame | None = None) -> dict:
         """Replaces the chunks of new and changed notes and drops those of notes that are gone.
 
         A changed note loses its old chunks even if nothing comes of it now.  A listing that failed must
-        raise before this is called: an empty listing means that every note is gone.  Returns the counters
-        and the new manifest."""
-        plan = checkpointed(index.plan(notes, manifest, "noteKey", ["version"]))
+        raise before this is called: an empty listing means that every note is gone.  Without a manifest that of the
+        collection is used; the new one is committed with the chunks, and returned beside the counters."""
+        manifest = self.collection.manifest("notes", MANIFEST_NOTES) if manifest is None else manifest
+        plan = checkpointed(index.plan(notes, manifest, "noteKey", incremental.NOTE_STATE))
         todo = notes.join(plan.where("action = 'update'"), "noteKey", "left_semi")
         gone = plan.where("action <> 'skip'").select(F.col("noteKey").alias("owner_key"))
-        fresh = self._embedded(self.note_chunks(todo))
-        self.collection.replace(fresh, gone)
-        return {"counters": {r.action: r["count"] for r in plan.groupBy("action").count().collect()}, "manifest": notes.select("noteKey", "version")}
+        entries = checkpointed(notes.select("noteKey", *incremental.NOTE_STATE))
+        self.collection.replace(checkpointed(self._embedded(self.note_chunks(todo))), gone, manifests={"notes": entries})
+        return {"counters": {r.action: r["count"] for r in plan.groupBy("action").count().collect()}, "manifest": entries}
 
-    def sync_files(self, fresh: DataFrame, listing: DataFrame, manifest: DataFrame) -> dict:
+    def sync_files(self, fresh: DataFrame, listing: DataFrame, manifest: DataFrame | None = None) -> dict:
         """Replaces the chunks of changed files by ``fresh`` (chunks without vectors) and drops stale ones.
 
-        A file of which no chunk came is a failure: its old chunks and its manifest entry stay."""
+        A file of which no chunk came is a failure: its old chunks and its manifest entry stay.  Manifests as in ``sync_notes``."""
+        manifest = self.collection.manifest("files", MANIFEST_FILES) if manifest is None else manifest
         plan = checkpointed(index.plan(listing, manifest, "attachmentKey", incremental.FILE_STATE))
         changed = fresh.join(plan.where("action = 'update'"), "attachmentKey", "left_semi")
         new = checkpointed(self._embedded(changed))
         done = new.select("attachmentKey").distinct()
         gone = plan.where("action = 'delete'").select(F.col("attachmentKey").alias("owner_key"))
-        self.collection.replace(new, gone)
         failed = plan.where("action = 'update'").select("attachmentKey").join(done, "attachmentKey", "left_anti")
         kept = manifest.join(failed, "attachmentKey", "left_semi").select("attachmentKey", *incremental.FILE_STATE)
-        entries = listing.join(failed, "attachmentKey", "left_anti").select("attachmentKey", *incremental.FILE_STATE).unionByName(kept)
+        entries = checkpointed(listing.join(failed, "attachmentKey", "left_anti").select("attachmentKey", *incremental.FILE_STATE).unionByName(kept))
+        self.collection.replace(new, gone, manifests={"files": entries})
         return {"counters": {r.action: r["count"] for r in plan.groupBy("action").count().collect()} | {"failed": failed.count()}, "manifest": entries}
 
+    def index_library(self, data_dir: str, collection: str | None = None) -> dict:
+        """One run of the indexer: the library's attachments below ``data_dir/storage`` and its notes, new and changed ones only.
+
+        Returns the counters of files and notes.  Files that cannot be read count as failed and come again."""
+        there = files.listing(self.spark, f"{data_dir.rstrip('/')}/storage")
+        library = checkpointed(self.items())
+        shape = library.where("data.itemType = 'attachment'").select(F.col("key").alias("attachmentKey"), F.col("data.path").alias("path"), F.col("data.filename").alias("filename"))
+        paths = files.resolve_paths(shape, there, data_dir)
+        attachments = checkpointed(items.normalized_attachments(library, paths, collection))
+        state = checkpointed(attachments.join(there.withColumnRenamed("path", "pdf_path"), "pdf_path").select("attachmentKey", *incremental.FILE_STATE))
+        todo = incremental.changed(state, self.collection.manifest("files", MANIFEST_FILES), "attachmentKey", incremental.FILE_STATE)
+        changed = checkpointed(attachments.join(todo.select("attachmentKey"), "attachmentKey", "left_semi").withColumn("source_type", items.indexed_source_type(F.col("contentType"), F.col("pdf_path"), F.col("source_type"))))
+        content = files.contents(changed.select("attachmentKey", F.col("pdf_path").alias("path"), "source_type"))
+        of = lambda kind: content.where(F.col("source_type") == kind)
+        html = of("html").select("attachmentKey", files.html_of(F.col("content"), self.config).alias("html"))
+        parts = [
+            self.html_chunks(changed.where("source_type = 'html'").join(html, "attachmentKey")),
+            self.epub_chunks(files.read_epubs(of("epub")), changed),
+            self.pdf_chunks(files.read_pdfs(of("pdf"), config=self.config).where("error IS NULL").drop("error"), changed),
+        ]
+        fresh = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+        done = self.sync_files(fresh, state)["counters"]
+        return {"files": done, "notes": self.sync_notes(items.note_records(library, collection))["counters"]}
+
     def rebuild(self) -> None:
         self.collection.rebuild()
 

@@ -6,11 +6,16 @@ import io
 import re
 import zipfile
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
+from urllib.parse import quote
 from xml.etree import ElementTree
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.types import StringType
 
 from quire.config import DEFAULT, EngineConfig
@@ -100,22 +105,64 @@ def read_epubs(files: DataFrame, owner: str = "attachmentKey", content: str = "c
     return files.select(owner, content).mapInPandas(run, f"{owner} string, chapter_index int, html string, error string")
 
 
-def read_pdfs(files: DataFrame, owner: str = "attachmentKey", content: str = "content") -> DataFrame:
-    """Text blocks of PDF pages (schema ``PDF_BLOCKS`` and error), where a PDF library is installed.
+def contents(wanted: DataFrame) -> DataFrame:
+    """``wanted`` (path and other columns) with the ``content`` of each file, read by the executors that need it; null for
+    a file that cannot be read.  Only files named are opened."""
+    ship(wanted.sparkSession)
+    at = wanted.columns.index("path")
+    schema = T.StructType([*wanted.schema.fields, T.StructField("content", T.BinaryType())])
 
-    A page that fails is an empty page, a file that fails gives one row with its error."""
-    ship(files.sparkSession)
+    def read(path: str | None) -> bytes | None:
+        try:
+            source, name = pyarrow.fs.FileSystem.from_uri(path if "://" in path else f"file://{quote(path)}")
+            with source.open_input_stream(name) as f:
+                return f.read()
+        except Exception:  # gone, forbidden or broken, on whatever file system
+            return None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, path in enumerate(batch.column(at).to_pylist()):  # one file a batch, whatever its size
+                yield pa.RecordBatch.from_arrays([*batch.slice(i, 1).columns, pa.array([read(path)], pa.binary())], names=schema.names)
+
+    return wanted.mapInArrow(run, schema)
+
+
+def page_blocks(page) -> list[tuple[int, float, float, float, int, str]]:
+    """(number, x0, y0, y1, type, text) of a page's blocks; where they fail or hold no text, the paragraphs of its
+    plain text, far enough apart to stay so."""
+    try:
+        found = [(no, float(b[0]), float(b[1]), float(b[3]), int(b[6]), str(b[4])) for no, b in enumerate(page.get_text("blocks"))]
+    except Exception:
+        found = []
+    if any(kind == 0 and text.strip() for *_, kind, text in found):
+        return found
+    plain = [p for p in re.split(r"\n[^\S\n]*\n", str(page.get_text("text") or "")) if p.strip()]
+    return [(no, 0.0, 1000.0 * no, 1000.0 * no, 0, p) for no, p in enumerate(plain)]
+
+
+def pdf_blocks(raw: bytes, library, timeout: float) -> Iterator[tuple]:
+    """Rows of PDF_BLOCKS without the key; a page that fails, or takes longer than ``timeout`` seconds, is an empty page."""
+    with library.open(stream=raw, filetype="pdf") as pdf:
+        for n, page in enumerate(pdf):
+            # a page that never ends keeps its thread, so each has one of its own
+            pool = ThreadPoolExecutor(1)
+            try:
+                blocks = pool.submit(page_blocks, page).result(timeout)
+                label = page.get_label() or ""
+            except Exception:
+                continue
+            finally:
+                pool.shutdown(wait=False, cancel_futures=True)
+            for no, x0, y0, y1, kind, text in blocks:
+                yield n, label, no, x0, y0, y1, kind, text
 
-    def blocks(raw: bytes) -> Iterator[tuple]:
-        import fitz  # optional
 
-        with fitz.open(stream=raw, filetype="pdf") as pdf:
-            for n, page in enumerate(pdf):
-                try:
-                    for no, b in enumerate(page.get_text("blocks")):
-                        yield n, page.get_label() or "", no, float(b[0]), float(b[1]), float(b[3]), int(b[6]), str(b[4])
-                except Exception:
-                    continue
+def read_pdfs(files: DataFrame, owner: str = "attachmentKey", content: str = "content", config: EngineConfig = DEFAULT) -> DataFrame:
+    """Text blocks of PDF pages (schema ``PDF_BLOCKS`` and error), where a PDF library is installed.
+
+    A file that fails gives one row with its error."""
+    ship(files.sparkSession)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [owner, "page_index", "page_label", "block_no", "x0", "y0", "y1", "block_type", "text", "error"]
@@ -123,10 +170,11 @@ def read_pdfs(files: DataFrame, owner: str = "attachmentKey", content: str = "co
             rows = []
             for key, raw in zip(f[owner], f[content]):
                 try:
-                    rows += [(key, *b, None) for b in blocks(bytes(raw))]
+                    import fitz  # optional
+
+                    rows += [(key, *b, None) for b in pdf_blocks(bytes(raw), fitz, config.page_timeout)]
                 except Exception as e:
                     rows.append((key, *[None] * 8, f"{type(e).__name__}: {e}"))
             yield pd.DataFrame(rows, columns=names).astype({"page_index": "Int32", "block_no": "Int32", "block_type": "Int32"})
 
     return files.select(owner, content).mapInPandas(run, f"{owner} string, page_index int, page_label string, block_no int, x0 double, y0 double, y1 double, block_type int, text string, error string")
-

@@ -86,6 +86,68 @@ def test_collection_versions(spark, tmp_path):
     assert not c.exists()
 
 
+def test_a_change_rewrites_only_its_buckets(spark, tmp_path):
+    c = index.Collection(spark, f"file://{tmp_path}", "p", 2, buckets=16)
+    schema = "chunk_id string, owner_key string, text string"
+    rows = spark.createDataFrame([(f"k{i}:html:para0:part0", f"k{i}", "old") for i in range(60)] + [("x:html:para0:part0", None, "old")], schema)
+    c.write(rows)
+    before = c._pointer()["buckets"]
+    c.replace(spark.createDataFrame([("k7:html:para0:part0", "k7", "new")], schema), spark.createDataFrame([("k9",)], "owner_key string"))
+    after = c._pointer()["buckets"]
+    assert 1 <= sum(after.get(b) != f for b, f in before.items()) <= 2 and len(before) > 8
+    texts = {r.owner_key: r.text for r in c.read().collect()}
+    assert len(texts) == 60 and texts["k7"] == "new" and "k9" not in texts and texts[None] == "old"
+    ids = spark.createDataFrame([("k7:html:para0:part0",), ("k8:html:para0:part0",), ("none",)], "chunk_id string")
+    assert {r.text for r in c.get(ids, ["text"]).collect()} == {"new", "old"} and c.near(ids).count() < 30
+    with pytest.raises(Exception):
+        c._write_text(f"{c.path}/_current/2", "{}", replace=False)  # a version is committed once
+    for _ in range(2):
+        c.replace(rows.limit(0), rows.where("owner_key = 'k1'").select("owner_key"))
+    assert c.read().count() == 59 and c._versions() == [3, 4]
+
+
+def test_batches_shadow_in_the_order_of_numbers(spark, tmp_path):
+    ledger = incremental.Ledger(spark, f"file://{tmp_path}/ledger", "k", ["v"])
+    rows = lambda v: spark.createDataFrame([("a", v)], "k string, v int")
+    assert ledger.run(rows(1), lambda df: df, "9") and ledger.run(rows(2), lambda df: df, "10")
+    assert ledger.pending(rows(2)).count() == 0 and ledger.pending(rows(1)).count() == 1
+
+
+def test_a_library_is_indexed_and_searched(spark, tmp_path):
+    import json
+
+    from quire.cli import main
+
+    body = "".join(f"<p>{x}</p>" for x in ("The warden of the reed bed kept a list of the birds for many years, and sold it with the book. " * 3, "The mill was built of stone from the shore, and the miller paid his rent in flour until the reform. " * 3))
+    for key, name, text in (("H1", "page.html", body), ("B1", "bad.epub", "no archive")):
+        (tmp_path / "lib" / "storage" / key).mkdir(parents=True)
+        (tmp_path / "lib" / "storage" / key / name).write_text(text)
+    item = lambda key, **data: json.dumps({"key": key, "version": 1, "data": {"key": key, **data}})
+    note = lambda text: item("N1", itemType="note", parentItem="P1", note=f"<p>{text}</p>", version=len(text))
+    fixed = [item("P1", itemType="book", title="Reeds", date="1999-01", creators=[{"lastName": "Roe", "firstName": "A"}]), item("H1", itemType="attachment", parentItem="P1", contentType="text/html", filename="page.html"), item("B1", itemType="attachment", parentItem="P1", contentType="application/epub+zip", filename="bad.epub")]
+
+    def run(*extra):
+        raw = spark.createDataFrame(list(enumerate([*fixed, *extra])), "seq long, json string")
+        e = Engine(spark, raw, HashingEmbedder(64), EngineConfig(index_dir=f"file://{tmp_path}/index", min_return_chars=50))
+        return e, e.index_library(str(tmp_path / "lib"))
+
+    e, first = run(note("A remark on the tide gauge, which stood beside the harbour office for a century. " * 3))
+    assert first == {"files": {"update": 2, "failed": 1}, "notes": {"update": 1}}
+    top = e.rag_search("warden reed bed birds", k=1, context_window=1).collect()[0]
+    assert top.citation == "Reeds (1999)" and "reed bed" in top.text and len(top.context) >= 1 and top.meta.itemKey == "P1"
+    assert e.search_items(["reed bed", "mill"], k=3).collect()[0].itemKey == "P1"
+    assert "reed" in e.get_chunk_context(top.id)["context_text"] and "error" in e.get_chunk_context("nothing")
+    _, second = run(note("A remark on the tide gauge, which stood beside the harbour office for a century. " * 3))
+    assert second == {"files": {"skip": 1, "update": 1, "failed": 1}, "notes": {"skip": 1}}  # the broken file comes again
+    e, third = run()
+    assert third["notes"] == {"delete": 1} and e.collection.read().where("source_type = 'note'").count() == 0
+    e.rebuild()
+    assert run()[1]["files"] == {"update": 2, "failed": 1}
+    (tmp_path / "items.json").write_text("\n".join(fixed))
+    assert main(["--index-dir", f"file://{tmp_path}/other", "index", "--items", f"file://{tmp_path}/items.json", "--data-dir", str(tmp_path / "lib")]) == 0
+    assert main(["--index-dir", f"file://{tmp_path}/other", "search", "reed bed", "-k", "1"]) == 0
+
+
 def test_notes_are_synced_incrementally(spark, tmp_path):
     e = Engine(spark, embedder=HashingEmbedder(16), config=EngineConfig(index_dir=f"file://{tmp_path}"))
     body = "<p>" + "The list was kept for a year and then it was sold with the book. " * 3 + "</p>"

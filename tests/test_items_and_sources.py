@@ -140,3 +140,32 @@ def test_single_lookups(server, tmp_path):
     assert client.item("K3")["key"] == "K3" and len(client.recent(2)) == 2
     path = client.download("K3", str(tmp_path / "x" / "f.pdf"))
     assert open(path, "rb").read() == b"bytes"
+
+
+class FakePage:
+    def __init__(self, blocks, text="", wait=0.0):
+        self.blocks, self.text, self.wait = blocks, text, wait
+
+    def get_text(self, kind):
+        import time
+
+        time.sleep(self.wait)
+        if kind == "blocks":
+            if self.blocks is None:
+                raise RuntimeError("no blocks")
+            return self.blocks
+        return self.text
+
+    def get_label(self):
+        return "i"
+
+
+def test_pages_fall_back_to_plain_text_and_time_out():
+    from contextlib import nullcontext
+    from types import SimpleNamespace
+
+    pages = [FakePage([(0, 1, 9, 2, "a block", 0, 0)], "unused"), FakePage(None, "one\n\ntwo"), FakePage([], "three"), FakePage([(0, 1, 9, 2, "late", 0, 0)], wait=1.5), FakePage([(0, 0, 1, 1, "<image>", 0, 1)], "beside an image"), FakePage([], "")]
+    library = SimpleNamespace(open=lambda stream, filetype: nullcontext(pages))
+    rows = list(files.pdf_blocks(b"", library, 0.5))
+    assert [(r[0], r[-1]) for r in rows] == [(0, "a block"), (1, "one"), (1, "two"), (2, "three"), (4, "beside an image")]
+    assert rows[2][4] - rows[1][5] > 12  # plain paragraphs stay apart
