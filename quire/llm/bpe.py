@@ -20,12 +20,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark import SparkFiles
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from quire.runtime import ship
 
-#: Folder of the public vocabularies, a parameter of every operator here.
+#: Folder of the public vocabularies on the driver, a parameter of every operator here.
 TOKENIZERS_DIR = "/opt/tokenizers"
 VOCABULARY = "byte_bpe_50k.json"
 #: Distinct pre-tokens a worker keeps; beyond that its table starts anew.
@@ -194,18 +195,25 @@ def encoder(path: str) -> PairIndexBPE:
     return _encoders[path]
 
 
-def _path(directory: str, vocabulary: str) -> str:
-    return os.path.join(directory, vocabulary)
+def _shipped(spark: SparkSession, directory: str, vocabulary: str) -> str:
+    """The vocabulary sent from the driver to every executor, once per context; its name there."""
+    sc = spark.sparkContext
+    sent = sc.__dict__.setdefault("_quire_files", set())
+    path = os.path.join(directory, vocabulary)
+    if path not in sent:
+        sc.addFile(path)
+        sent.add(path)
+    return os.path.basename(path)
 
 
 def encode_column(df: DataFrame, key: str, text: str, *, out: str = "ids", directory: str = TOKENIZERS_DIR, vocabulary: str = VOCABULARY) -> DataFrame:
     """(key, ids) of every row of ``df``: a narrow, shuffle-free map over the two columns it needs."""
     ship(df.sparkSession)
-    path = _path(directory, vocabulary)
+    name = _shipped(df.sparkSession, directory, vocabulary)
     schema = T.StructType([T.StructField(key, df.schema[key].dataType), T.StructField(out, T.ArrayType(T.IntegerType(), False), False)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = encoder(path)
+        bpe = encoder(SparkFiles.get(name))
         for batch in batches:
             ids, bounds = bpe.encode(batch.column(1).to_pylist())
             lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids, pa.int32()))
@@ -217,11 +225,11 @@ def encode_column(df: DataFrame, key: str, text: str, *, out: str = "ids", direc
 def count_column(df: DataFrame, key: str, text: str, *, out: str = "n_tokens", directory: str = TOKENIZERS_DIR, vocabulary: str = VOCABULARY) -> DataFrame:
     """(key, n_tokens) of every row of ``df``."""
     ship(df.sparkSession)
-    path = _path(directory, vocabulary)
+    name = _shipped(df.sparkSession, directory, vocabulary)
     schema = T.StructType([T.StructField(key, df.schema[key].dataType), T.StructField(out, T.LongType(), False)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = encoder(path)
+        bpe = encoder(SparkFiles.get(name))
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bpe.count(batch.column(1).to_pylist()), pa.int64())], names=[key, out])
 
