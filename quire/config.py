@@ -32,6 +32,12 @@ class EngineConfig:
     http_timeout: float = 30.0
     download_timeout: float = 120.0
     page_timeout: float = 30.0
+    # embedder; a model given by name or path goes before the profile
+    embed_profile: str = "hashing"
+    embed_model: str = ""
+    embed_device: str = "cpu"
+    embed_offline: bool = False
+    models_dir: str = "data/models"
     # index
     collection: str = "paragraphs"
     index_dir: str = "data/index"

@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.config import DEFAULT, EngineConfig
-from quire.functions.embedding import Embedder, HashingEmbedder, embed
+from quire.functions.embedding import Embedder, embed, embedder_of
+from quire.functions.text import Extractor
 from quire.operators import chunking, context, incremental, index, items, search
 from quire.operators.pdfnoise import without_noise
 from quire.runtime import checkpointed
@@ -22,8 +23,8 @@ class Engine:
 
     ``items_raw`` (seq, json) is any DataFrame of items: the paged API source, a table, a file."""
 
-    def __init__(self, spark: SparkSession, items_raw: DataFrame | None = None, embedder: Embedder | None = None, config: EngineConfig = DEFAULT) -> None:
-        self.spark, self.config, self.embedder = spark, config, embedder or HashingEmbedder()
+    def __init__(self, spark: SparkSession, items_raw: DataFrame | None = None, embedder: Embedder | None = None, config: EngineConfig = DEFAULT, extractor: Extractor | None = None) -> None:
+        self.spark, self.config, self.embedder, self.extractor = spark, config, embedder or embedder_of(config), extractor
         self.items_raw = items_raw
         self.collection = index.Collection(spark, config.index_dir, config.collection, self.embedder.dim)
 
@@ -84,7 +85,7 @@ class Engine:
         """Chunks of attachments (metadata and ``html``)."""
         keep = ["itemKey", "attachmentKey", "title", "year", "creators", "contentType", "filename", "path", "pdf_path"]
         base = items.chunk_base(attachments.withColumn("source_type", F.lit("html"))).join(attachments.select("attachmentKey", "html"), "attachmentKey")
-        return chunking.chunk_html(base, "attachmentKey", "html", keep, config=self.config).withColumn("owner_key", F.col("attachmentKey")).withColumn("source_type", F.lit("html"))
+        return chunking.chunk_html(base, "attachmentKey", "html", keep, config=self.config, extractor=self.extractor).withColumn("owner_key", F.col("attachmentKey")).withColumn("source_type", F.lit("html"))
 
     def note_chunks(self, notes: DataFrame) -> DataFrame:
         """Chunks of notes (noteKey, parentItemKey, note_html, title, year, creators)."""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 from collections.abc import Iterator
@@ -13,6 +14,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quire.config import EngineConfig
+
 
 class Embedder(Protocol):
     dim: int
@@ -37,6 +40,59 @@ class HashingEmbedder:
         return out / np.where(norms > 0, norms, 1.0)
 
 
+# Models of the profiles, whether they are looked for in the models folder only, and their dimensions.
+PROFILES = {"fast": ("sentence-transformers/paraphrase-multilingual-MiniLM-L12-v2", False, 384), "bge": ("bge-m3", True, 1024)}
+
+
+def resolve_model(config: EngineConfig) -> tuple[str, str]:
+    """(name or path, device) of the model the settings ask for.
+
+    Offline, only a local folder will do: the one named, or that of the model below ``models_dir``."""
+    if config.embed_model:
+        model, local_only = config.embed_model, False
+    elif config.embed_profile in PROFILES:
+        model, local_only, _ = PROFILES[config.embed_profile]
+    else:
+        raise ValueError(f"no profile {config.embed_profile!r}; there are {', '.join(sorted(PROFILES))} and hashing")
+    folder = os.path.join(config.models_dir, model.rpartition("/")[2])
+    if local_only:
+        model = folder
+    if not config.embed_offline or os.path.isdir(model):
+        return model, config.embed_device
+    if os.path.isdir(folder):
+        return folder, config.embed_device
+    raise FileNotFoundError(f"offline, and {model} is in no local folder; put it into {folder} or name its path")
+
+
+class SentenceEmbedder:
+    """A sentence-transformers model, loaded once in each worker that embeds; needs that library."""
+
+    def __init__(self, model: str, device: str, dim: int) -> None:
+        self.model, self.device, self.dim = model, device, dim
+
+    def embed(self, texts: list[str]) -> np.ndarray:
+        if (self.model, self.device) not in _LOADED:
+            from sentence_transformers import SentenceTransformer  # optional
+
+            _LOADED[self.model, self.device] = SentenceTransformer(self.model, device=self.device)
+        return np.asarray(_LOADED[self.model, self.device].encode(texts, normalize_embeddings=True))
+
+
+_LOADED: dict[tuple[str, str], object] = {}
+
+
+def embedder_of(config: EngineConfig) -> Embedder:
+    """By the settings: hashing, or the model of a profile or name, whose dimension is asked of it where none is fixed."""
+    if config.embed_profile == "hashing" and not config.embed_model:
+        return HashingEmbedder()
+    model, device = resolve_model(config)
+    known = None if config.embed_model else PROFILES[config.embed_profile][2]
+    out = SentenceEmbedder(model, device, known or 0)
+    if not known:
+        out.dim = out.embed(["dimension"]).shape[1]
+    return out
+
+
 def embed(c: Column, embedder: Embedder) -> Column:
     """array<float> of each text; null for null.  The embedder is loaded once per worker."""
 

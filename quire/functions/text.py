@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import html
 import unicodedata
+from typing import Protocol
 
 import pandas as pd
 from pyspark.sql import Column
@@ -235,6 +236,31 @@ def text_of_html(c: Column) -> Column:
     return unescape(strip_html(c))
 
 
+class Extractor(Protocol):
+    """Finds the main text of a page; None or blank where it finds none."""
+
+    def __call__(self, page: str) -> str | None: ...
+
+
+def main_text_of_html(c: Column, extractor: Extractor | None = None) -> Column:
+    """What ``extractor`` finds, else all text of the page, as where it fails or there is none."""
+    if extractor is None:
+        return text_of_html(c)
+
+    @F.pandas_udf(StringType())
+    def found(s: pd.Series) -> pd.Series:
+        def one(page: str) -> str | None:
+            try:
+                text = extractor(page) if page else None
+            except Exception:  # whatever a library raises, the page is kept
+                return None
+            return text if isinstance(text, str) and text.strip() else None
+
+        return s.map(one, na_action="ignore")
+
+    return F.coalesce(found(c), text_of_html(c))
+
+
 def creators_text(c: Column) -> Column:
     """Names that are not blank, joined; null for none."""
     kept = F.filter(c, lambda x: x.isNotNull() & (strip(x) != ""))

@@ -75,8 +75,8 @@ def chunk_text(df: DataFrame, owner: str, raw: str, kind: str, keep: list[str],
     return assembled(df, owner, "__paras", F.lit(kind), F.col("__sample"), keep, config)
 
 
-def chunk_html(df: DataFrame, owner: str, raw: str, keep: list[str], *, config: EngineConfig = DEFAULT) -> DataFrame:
-    return chunk_text(df.withColumn("__text", t.text_of_html(F.col(raw))), owner, "__text", "html", keep, config=config)
+def chunk_html(df: DataFrame, owner: str, raw: str, keep: list[str], *, config: EngineConfig = DEFAULT, extractor: t.Extractor | None = None) -> DataFrame:
+    return chunk_text(df.withColumn("__text", t.main_text_of_html(F.col(raw), extractor)), owner, "__text", "html", keep, config=config)
 
 
 def chunk_notes(df: DataFrame, owner: str, raw: str, keep: list[str], *, config: EngineConfig = DEFAULT) -> DataFrame:

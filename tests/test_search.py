@@ -1,3 +1,5 @@
+from dataclasses import replace
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -151,3 +153,30 @@ def test_inverted_file_reaches_its_recall(spark, tmp_path):
     full = {(r.q, r.vec_id, r.distance) for r in ann.search(queries, indexed, centroids, 10, 16, key="vec_id").collect()}
     assert full == {(r.q, r.vec_id, r.distance) for r in search.nearest(queries, rows, 10, key="vec_id").collect()}
     assert ann.search(queries, indexed, ann.fit_centroids(rows.limit(0), 4), 10, 3, key="vec_id").count() == 0
+
+
+def test_models_are_resolved(tmp_path):
+    from quire.functions import embedding
+
+    c = EngineConfig(models_dir=str(tmp_path))
+    assert isinstance(embedding.embedder_of(c), HashingEmbedder)
+    fast = replace(c, embed_profile="fast", embed_device="cuda")
+    assert embedding.resolve_model(fast) == ("sentence-transformers/paraphrase-multilingual-MiniLM-L12-v2", "cuda") and embedding.embedder_of(fast).dim == 384
+    assert embedding.resolve_model(replace(c, embed_profile="bge")) == (f"{tmp_path}/bge-m3", "cpu")
+    with pytest.raises(FileNotFoundError):
+        embedding.resolve_model(replace(fast, embed_offline=True))
+    (tmp_path / "paraphrase-multilingual-MiniLM-L12-v2").mkdir()
+    assert embedding.resolve_model(replace(fast, embed_offline=True))[0] == f"{tmp_path}/paraphrase-multilingual-MiniLM-L12-v2"
+    assert embedding.resolve_model(replace(fast, embed_model="own/model"))[0] == "own/model"
+    with pytest.raises(ValueError):
+        embedding.resolve_model(replace(c, embed_profile="other"))
+
+
+def test_texts_are_not_shuffled_for_bounded_hits(spark, small):
+    from quire.plans import catalogue
+
+    queries, chunks = catalogue._library(spark, small)
+    fused = search.fuse_passages(search.nearest(queries, chunks, 25))
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert "strategy=broadcast" in plan(chunks.join(search._bounded(fused, queries, 25), "chunk_id"))
+    assert "strategy=broadcast" not in plan(chunks.join(search._bounded(fused, queries, search.BROADCAST_HITS), "chunk_id"))

@@ -139,3 +139,15 @@ def test_years_and_creators(spark):
     assert [one(spark, d, t.year_of) for d in ("2021-03", "c. 1999", None, "20", "１９９９")] == [2021, None, None, None, None]
     rows = spark.createDataFrame([(["a", " ", None, "b"],), ([],), (None,), ([" "],)], "n array<string>").select(t.creators_text(F.col("n")).alias("r")).collect()
     assert [r.r for r in rows] == ["a; b", None, None, None]
+
+
+def test_main_text_is_pluggable(spark):
+    def extractor(page):
+        if "broken" in page:
+            raise ValueError
+        return page.partition("<main>")[2].partition("</main>")[0]
+
+    df = spark.createDataFrame([("<p>menu</p><main>body</main>",), ("<p>no main</p>",), ("broken<b>x</b>",), (None,), ("",)], "html string")
+    got = [r[0] for r in df.select(t.main_text_of_html(F.col("html"), extractor)).collect()]
+    assert [g if g is None else g.strip() for g in got] == ["body", "no main", "broken x", None, ""]
+    assert df.select(t.main_text_of_html(F.col("html"))).first()[0].split() == ["menu", "body"]
