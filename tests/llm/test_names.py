@@ -61,6 +61,17 @@ def test_overfull_blocks_lose_no_pair(spark, monkeypatch):
     assert {("person\tkennath\ttorvelen", "person\tkenneth\ttorvalen"), ("person\tmontgameriston\twalter", "person\tmontgomereston\twalter")} <= whole
 
 
+def test_a_block_over_the_limit_against_brute_force(spark):
+    from itertools import combinations, product
+
+    written = [f"T{a}rv{b}l{c}n{d}s, {g}" for a, b, c, d in product("aeiou", "aeio", "aeiou", "ae") for g in ("Walter", "Wolter", "Walder")]
+    forms = {names.parse(n, {})[1][0] + "\t" + names.parse(n, {})[1][1] for n in written}
+    assert len(forms) > names.HOT_BLOCK and len({tuple(map(names.sound, f.split("\t"))) for f in forms}) == 1  # all of one sound
+    nodes = names.parsed(spark.createDataFrame([(n,) for n in written], "name string"), {}).select("key", "kind", "tokens").distinct()
+    got = {(r.a.split("\t", 1)[1], r.b.split("\t", 1)[1]) for r in names.accepted_pairs(nodes).collect()}
+    assert got == {(a, b) for a, b in combinations(sorted(forms), 2) if names.same_name(a, b)}
+
+
 def test_jaro_winkler():
     assert names.jaro_winkler("martha", "marhta") == pytest.approx(0.9611, abs=1e-4)
     assert names.jaro_winkler("dwayne", "duane") == pytest.approx(0.84, abs=1e-2)
