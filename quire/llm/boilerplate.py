@@ -152,9 +152,10 @@ def indices(block: str) -> list[int]:
     return [zlib.crc32(g.encode()) % BUCKETS for g in set(grams)]
 
 
-def design(blocks: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Sparse rows (row, column, value) and the shapes of the blocks."""
-    once = {b: (indices(b), shape(b)) for b in dict.fromkeys(blocks)}
+def design(blocks: list[str], once: dict[str, tuple[list[int], list[float]]] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Sparse rows (row, column, value) and the shapes of the blocks; ``once`` keeps those of earlier calls."""
+    once = {} if once is None else once
+    once |= {b: (indices(b), shape(b)) for b in dict.fromkeys(blocks) if b not in once}
     idx = [once[b][0] for b in blocks]
     rows = np.repeat(np.arange(len(blocks)), [len(i) for i in idx])
     cols = np.fromiter((c for i in idx for c in i), dtype=np.int64, count=len(rows))
@@ -165,7 +166,8 @@ def design(blocks: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
 class Classifier:
     """Logistic regression of main body against furniture on hashed words and shape."""
 
-    def __init__(self) -> None:
+    def __init__(self, once: dict[str, tuple[list[int], list[float]]] | None = None) -> None:
+        self.once = once
         self.words, self.shapes, self.bias = np.zeros(BUCKETS), np.zeros(SHAPES), 0.0
         self.ties = (PAGE_SECTION, SECTION_BLOCK)
 
@@ -173,12 +175,12 @@ class Classifier:
         if not blocks:
             return np.empty(0)
         blocks = [b if b.isascii() else without_model(b) for b in blocks]
-        rows, cols, values, shapes = design(blocks)
+        rows, cols, values, shapes = design(blocks, self.once)
         return np.bincount(rows, self.words[cols] * values, len(blocks)) + shapes @ self.shapes + self.bias
 
     def fit(self, blocks: list[str], body: np.ndarray, *, rounds: int = 250, rate: float = 0.6, ridge: float = 2e-4) -> Classifier:
         """Full-batch gradient steps with momentum, both classes of equal weight."""
-        rows, cols, values, shapes = design(blocks)
+        rows, cols, values, shapes = design(blocks, self.once)
         y = body.astype(float)
         weight = np.where(y > 0, 0.5 / max(1, y.sum()), 0.5 / max(1, (1 - y).sum()))
         velocity = [np.zeros(BUCKETS), np.zeros(SHAPES), 0.0]
@@ -271,17 +273,20 @@ def fit_on_labelled(titles: list[str], body: list[str], pages: list[str], keys:
     good = prose + pieces + titles * 3 + BODY * 12 + labelled_lists(copies=300) * 2 + ["Contents", "Introduction", "Summary", "Notes"] * 5
     blocks = furniture + good
     y = np.array([0] * len(furniture) + [1] * len(good))
-    first = Classifier().fit(blocks, y)
+    once: dict[str, tuple[list[int], list[float]]] = {}
+    first = Classifier(once).fit(blocks, y)
     seen = sorted({b for t in pages for b in split_blocks(t) if b.strip()})
     if not seen:
+        first.once = None
         return first
-    sources = Classifier().fit(good + seen, np.array([1] * len(good) + [0] * len(seen)), rounds=120)
+    sources = Classifier(once).fit(good + seen, np.array([1] * len(good) + [0] * len(seen)), rounds=120)
     labels = label_pages(first.logits(seen), 1 / (1 + np.exp(-sources.logits(seen))), seen)
-    final = Classifier().fit(blocks + [b for b, v in zip(seen, labels) if v >= 0], np.concatenate((y, labels[labels >= 0])))
+    final = Classifier(once).fit(blocks + [b for b, v in zip(seen, labels) if v >= 0], np.concatenate((y, labels[labels >= 0])))
     per = [[b for b in split_blocks(t) if b.strip()] for t in pages]
     q = 1 / (1 + np.exp(-final.logits([b for bs in per for b in bs])))
     ends = np.cumsum([len(bs) for bs in per])
     final.ties = fit_ties([(key, q[end - len(bs) : end].tolist()) for key, bs, end in zip(keys or map(str, range(len(pages))), per, ends)])
+    final.once = None
     return final
 
 
