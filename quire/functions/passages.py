@@ -1,23 +1,34 @@
-"""Splitting and merging of passages in plain Python, for Arrow batches.
+"""From text to passages in plain Python, for Arrow batches: cleaning, paragraphs, splitting, merging.
 
-Equal to the folds ``split_long`` and ``merge_short`` of ``functions.text``, which a test holds them against; those
-copy their accumulator at every step, which is quadratic in the parts of a text, these do not."""
+Equal to the columns of the same names in ``functions.text``, which a test holds them against.  The folds there
+copy their accumulator at every step, which is quadratic in the parts of a text, and each of the patterns
+is one more pass over it; these are not."""
 
 from __future__ import annotations
 
 import re
+import unicodedata
+from collections import Counter
 
 from quire.config import DEFAULT, EngineConfig
-from quire.functions.text import CJK, CJK_LEAST, LATIN_MOST, SENTENCE_ENDS
+from quire.functions.text import CJK, CJK_LEAST, CONTROL, LATIN_MOST, SAMPLE_CHARS, SENTENCE_ENDS
 
 # Unicode white space.
-SPACE = "\t\n\x0b\x0c\r \x85\xa0                　"
+SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 _SPACED = re.compile(rf"(?<=[{SENTENCE_ENDS}])[{SPACE}]+")
 _CLOSE = re.compile(rf"(?<=[{SENTENCE_ENDS}])[{SPACE}]*")
 _CJK = re.compile(f"[{CJK}]")
 _LATIN = re.compile("[A-Za-z]")
 _SOLID = re.compile(f"[^{SPACE}]")
 
+_GAP = SPACE.replace("\n", "")
+_CONTROL = re.compile(CONTROL)
+_NEWLINE = re.compile("\r\n|[\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]")
+_BLANK = re.compile(rf"\n(?:[{_GAP}]*\n)+")
+_HYPHEN = re.compile(rf"-[{_GAP}]*\n[{SPACE}]*")
+_LINE_END = re.compile(rf"[{_GAP}]*\n[{SPACE}]*")
+_RUN = re.compile(rf"[{SPACE}]+")
+
 #: Columns of an assembled chunk: id, text, places, and what merging says of it.
 Chunk = tuple[str, str, str, int, int, int | None, bool | None, int | None, str | None]
 
@@ -29,6 +40,46 @@ def is_cjk(text: str) -> bool:
     return len(_CJK.findall(text)) / solid >= CJK_LEAST and len(_LATIN.findall(text)) / solid <= LATIN_MOST
 
 
+def clean(text: str) -> str:
+    text = _CONTROL.sub("", text)
+    return (text if text.isascii() else unicodedata.normalize("NFKC", text)).replace("\ufffd", "")
+
+
+def paragraphs(text: str, glue: str) -> list[str]:
+    out = []
+    for part in _BLANK.split(_NEWLINE.sub("\n", text)):
+        undone = _HYPHEN.sub("", part.strip(SPACE))
+        if p := _RUN.sub(" ", _LINE_END.sub("\n", undone).replace("\n", glue)).strip(SPACE):
+            out.append(p)
+    return out
+
+
+def is_gibberish(text: str) -> bool:
+    counts = Counter(text)
+    for c in SPACE:
+        counts.pop(c, None)
+    n = counts.total()
+    if n < 50:
+        return False
+    kinds: Counter[str] = Counter()
+    for c, times in counts.items():
+        kinds[unicodedata.category(c)] += times
+    shown = sum(v for k, v in kinds.items() if k[0] not in "CZ")
+    written = sum(v for k, v in kinds.items() if k[0] == "L" or k == "Nd")
+    return shown / n < 0.90 or written / n < 0.20
+
+
+def chunks_of(owner: str, kind: str, text: str, whole_sample: bool, config: EngineConfig = DEFAULT) -> list[Chunk]:
+    """The chunks of a document; a gibberish one has none, by its first paragraphs or by the whole of it."""
+    text = clean(text)
+    paras = paragraphs(text, "" if is_cjk(text[:SAMPLE_CHARS]) else " ")
+    sample = text if whole_sample else "\n\n".join(paras[:20])[:5000]
+    if not paras or is_gibberish(sample):
+        return []
+    least = config.min_chunk_chars_no_space if is_cjk(sample.strip(SPACE)[:SAMPLE_CHARS]) else config.min_chunk_chars
+    return merge_short(records(owner, kind, paras, None, config), least, config)
+
+
 def split_long(text: str | None, config: EngineConfig = DEFAULT) -> list[str] | None:
     """Parts of at most ``max_chars``; null for null."""
     if text is None:

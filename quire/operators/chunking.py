@@ -5,7 +5,7 @@ other pages of their document (``pdfnoise``)."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 import pyarrow as pa
@@ -33,27 +33,35 @@ def assembled(df: DataFrame, owner: str, paras: str, kind: Column, sample: Colum
     """The chunks of the paragraphs in an array column: split, short ones merged, with positional ids.
 
     One pass of Arrow batches; only the columns of ``keep`` go along."""
-    ship(df.sparkSession)
-    fields = [df.schema[k] for k in keep]
-    schema = T.StructType(fields + T.StructType.fromDDL(_OUT).fields)
     least = t.min_chunk_chars(sample, config)
-    source = df.select(*keep, F.col(owner).cast("string").alias("__owner"), kind.alias("__kind"), least.alias("__least"), F.col(paras).alias("__paras"), (F.col(chapters) if chapters else F.lit(None).cast("array<int>")).alias("__chapters"))
-    n = len(keep)
+    inputs = [F.col(owner).cast("string"), kind, least, F.col(paras), F.col(chapters) if chapters else F.lit(None).cast("array<int>")]
+
+    def made(key: str | None, what: str, short: int, texts: list[str] | None, places: list[int] | None) -> list[passages.Chunk]:
+        # a document without an owner has no ids, and so no chunks
+        return passages.merge_short(passages.records(key, what, texts or [], places, config), short, config) if key is not None else []
+
+    return _mapped(df, keep, inputs, made)
+
+
+def _mapped(df: DataFrame, keep: list[str], inputs: list[Column], made: Callable[..., list[passages.Chunk]]) -> DataFrame:
+    """A row for each chunk that ``made`` makes of the inputs of a row, with its columns ``keep``."""
+    ship(df.sparkSession)
+    schema = T.StructType([df.schema[k] for k in keep] + T.StructType.fromDDL(_OUT).fields)
+    n, m = len(keep), len(inputs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows: list[int] = []
             out: list[passages.Chunk] = []
-            for i, (key, what, short, texts, places) in enumerate(zip(*(batch.column(n + k).to_pylist() for k in range(5)))):
-                # a document without an owner has no ids, and so no chunks
-                found = passages.merge_short(passages.records(key, what, texts or [], places, config), short, config) if key is not None else []
+            for i, values in enumerate(zip(*(batch.column(n + k).to_pylist() for k in range(m)))):
+                found = made(*values)
                 rows += [i] * len(found)
                 out += found
             at = pa.array(rows, pa.int64())
             columns = list(zip(*out)) or [()] * len(_TYPES)
             yield pa.RecordBatch.from_arrays([batch.column(i).take(at) for i in range(n)] + [pa.array(c, kind) for c, kind in zip(columns, _TYPES)], names=schema.names)
 
-    return source.mapInArrow(run, schema)
+    return df.select(*keep, *(c.alias(f"__{i}") for i, c in enumerate(inputs))).mapInArrow(run, schema)
 
 
 _OUT = "chunk_id string, text string, locator string, para_index int, part_index int, chapter_index int, merged boolean, merge_count int, locator_end string"
@@ -69,10 +77,7 @@ def chunk_text(df: DataFrame, owner: str, raw: str, kind: str, keep: list[str],
 
     A gibberish document gives none; the test reads the first paragraphs, or the whole text for notes.
     Null and blank texts give none."""
-    df = df.withColumn("__clean", t.clean(F.col(raw)))
-    df = df.withColumn("__paras", t.once(t.paragraphs(F.col("__clean"), t.joiner(F.substring("__clean", 1, t.SAMPLE_CHARS)))))
-    df = df.withColumn("__sample", F.col("__clean") if whole_sample else _sample(F.col("__paras"))).where((F.size("__paras") > 0) & ~t.is_gibberish(F.col("__sample")))
-    return assembled(df, owner, "__paras", F.lit(kind), F.col("__sample"), keep, config)
+    return _mapped(df, keep, [F.col(owner).cast("string"), F.col(raw)], lambda key, text: passages.chunks_of(key, kind, text, whole_sample, config) if key is not None and text is not None else [])
 
 
 def chunk_html(df: DataFrame, owner: str, raw: str, keep: list[str], *, config: EngineConfig = DEFAULT, extractor: t.Extractor | None = None) -> DataFrame:

@@ -78,5 +78,12 @@ def test_batches_equal_the_folds(spark, small):
 
     records = F.filter(F.flatten(F.transform("paras", of_para)), lambda r: F.length(r["text"]) >= DEFAULT.hard_min_chars)
     want = paras.select("owner", F.explode(t.merge_short(records, t.min_chunk_chars(F.col("sample")))).alias("c")).select("owner", *(F.col(f"c.{n}").alias(n) for n in got.columns[1:]))
+    # and the whole way from text to chunks
+    whole = docs.withColumn("clean", t.clean(F.col("text"))).withColumn("paras", t.paragraphs(F.col("clean"), t.joiner(F.substring("clean", 1, t.SAMPLE_CHARS)))).where("owner IS NOT NULL AND size(paras) > 0")
+    for by_all in (False, True):
+        sampled = whole.withColumn("sample", F.col("clean") if by_all else chunking._sample(F.col("paras"))).where(~t.is_gibberish(F.col("sample")))
+        long_way = chunking.assembled(sampled, "owner", "paras", F.lit("html"), F.col("sample"), ["owner"], DEFAULT)
+        short_way = chunking.chunk_text(docs, "owner", "text", "html", ["owner"], whole_sample=by_all)
+        assert sorted(map(str, long_way.collect())) == sorted(map(str, short_way.collect()))
     key = lambda r: str(r.asDict())
     assert sorted(map(key, got.collect())) == sorted(map(key, want.collect())) and got.count() > 100
