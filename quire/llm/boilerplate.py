@@ -59,13 +59,13 @@ FURNITURE = {
         "Öffnungszeiten Di–So 10–17 Uhr. Eintritt {n} Euro.", "Nach oben", "Vorheriger Beitrag: {t}   Nächster Beitrag: {t}", "Anzeige. {t} — jetzt im Buchhandel.",
         "Meistgelesen 1. {t} 2. {t}", "Über diese Seite: {s} wird ehrenamtlich betreut; schreiben Sie uns, wenn Sie einen Fehler finden.", "Gefällt Ihnen unser Angebot? {s} braucht Ihre Spende; mit {n} Euro helfen Sie uns.", "Vorschau: {t}. Termin jetzt vormerken und Freunde einladen.",
         "Mehr zum Thema: {t} / {t}", "Rundbrief abonnieren: Ihre E-Mail-Adresse. Abschicken", "© {n} {s} | Kontakt | Impressum | Datenschutz", "Nachdruck nur mit Genehmigung. {s}, {p}. Stand: {d}",
-        "Einloggen | Konto anlegen | Merkliste ({n})", "Artikel teilen · weiterleiten · {n} Antworten", "Wir verwenden Cookies, um unser Angebot zu messen. Auswahl ändern Zustimmen",
+        "Einloggen | Konto anlegen | Merkliste ({n})", "Artikel teilen · weiterleiten · {n} Antworten", "Wir verwenden Cookies, um unser Angebot zu messen. Auswahl ändern Zustimmen", "Cookies helfen uns, diese Seite für Sie zu verbessern. Alle zulassen Mehr zum Datenschutz", "Wir setzen Cookies ein, um Ihnen die Nutzung zu erleichtern. Einstellungen Alle annehmen Datenschutzerklärung lesen",
     ],
     "fr": [
         "Nous utilisons des témoins de connexion pour mesurer l’audience. Tout accepter Refuser Paramètres", "En poursuivant votre navigation, vous acceptez la politique de confidentialité de {s}. Accepter Refuser", "Partager  Imprimer  Envoyer  {n} commentaires", "Vous êtes ici : Accueil › Collections › {t}",
         "Prochainement : {t}. Réservez la date.", "Mots-clés : Projets, Archives, {p}", "Horaires : du mardi au dimanche, de 10 h à 17 h. Entrée {n} euros.", "Haut de page",
         "Publicité. {t} — en librairie.", "Article précédent : {t}   Article suivant : {t}", "Les plus lus 1. {t} 2. {t}", "À propos de ce site : {s} est tenu par des bénévoles ; écrivez-nous pour signaler une erreur.",
-        "Ce site vous plaît ? {s} a besoin de vous : un don de {n} euros nous aide.", "À venir : {t}. Notez la date et invitez vos amis.", "Sur le même sujet : {t} / {t}", "Abonnez-vous à notre bulletin. Votre courriel. Envoyer",
+        "Ce site vous plaît ? {s} a besoin de vous : un don de {n} euros nous aide.", "À venir : {t}. Notez la date et invitez vos amis.", "{s} existe par vos dons. Avec {n} euros, vous aidez le site à rester ouvert à tous.", "Sur le même sujet : {t} / {t}", "Abonnez-vous à notre bulletin. Votre courriel. Envoyer",
         "© {n} {s} – Crédits – Confidentialité – Contact", "Reproduction interdite sans autorisation. {s}, {p}. Page mise à jour le {d}", "Se connecter | S’inscrire | Mon panier ({n})", "Partager cet article  Envoyer à un ami  {n} réponses",
     ],
     "es": [
