@@ -90,6 +90,37 @@ def test_scans_of_tables(spark):
     assert s.repaired(df.limit(0), s.lexicon_of(df.limit(0), "text")).count() == 0
 
 
+def test_words_out_of_memory_are_read_from_the_file(spark):
+    schema = "chunk_id string, text string, title string, creators string, page int, page_label string"
+    long = "Torvarenfjord" + "reedbedgullcolonysurvey" * 2
+    texts = [" ".join(WORDS), f"the {long} was found"] * 4 + ["the warden rneasured tbe rced bed near thc harbour", "The harb0ur and Gull c0lony, the list of that year", "the thewarden kept re-\nform and sur-\nvey"]
+    texts += [f"the {long.replace('e', 'c', 1).replace('n', 'ri', 1)} was found", f"the {long[:20]}-\n{long[20:]} was found"]
+    df = spark.createDataFrame([(f"A:p{i}:para0:part0", t, None, None, None, None) for i, t in enumerate(texts)], schema)
+    whole = s.lexicon_of(df, "text")
+    rows = sorted(s.repaired(df, whole).collect())
+    fixed = {r.chunk_id: r.repaired for r in rows}
+    assert fixed["A:p8:para0:part0"] == "the warden measured the reed bed near the harbour"
+    assert fixed["A:p11:para0:part0"] == fixed["A:p12:para0:part0"] == f"the {long} was found"
+    for most in (0, 1, 3, len(whole) - 1):
+        few = s.lexicon_of(df, "text", most=most)
+        assert sorted(s.repaired(df, few).collect()) == rows, most
+        assert len(few) == most and few.total == whole.total and few.items() <= whole.items()
+    assert whole["warden"] == 5 and whole.total == sum(whole.values()) + 4  # the long word alone is in the file
+
+
+def test_confusions_of_long_words_against_trying_all():
+    assert all(s.fold_key(bad) == s.fold_key(good) for bad, good in s.CONFUSIONS) and s.fold_key("Chili") == s.fold_key("chili")
+    for word in ("rnvvhcl", "6illmrn", "C0ri|bot", "iiiiii"):
+        least, layer = {word: 0}, [word]
+        for k in (1, 2, 3):
+            following = {w[:i] + good + w[i + len(bad) :] for w in layer for bad, good in s.CONFUSIONS for i in range(len(w)) if w.startswith(bad, i)}
+            layer = [v for v in following if v not in least]
+            least.update(dict.fromkeys(layer, k))
+        del least[word]
+        assert all(s.confusions_between(word, v) == k and s.fold_key(v) == s.fold_key(word) for v, k in least.items())
+        assert all(s.confusions_between(word, v[::-1]) == least.get(v[::-1]) for v in least if v[::-1] != word)
+
+
 SPAM = [
     "cheap reed mats, reed mats Torford, buy reed mats, cheap reed mats, reed mats online, " * 8, "#reed #mats #reed_mats " * 20, '<a href="http://a.invalid/x">reed mats</a> ' * 20, "http://a.invalid/reed http://b.invalid/reed " * 15, "r33d m@ts ~ buy re3d mat5 ~ " * 20, "\n".join(f"TORV-{i} reed mat {i}.50 EUR in stock Add to cart" for i in range(20)), "Looking for reed mats? Our reed mats are the best reed mats in Torford. Why reed mats? Because reed mats beat every other mats for reed mats fans. " * 5, "where to buy reed mats near me\nbest way to buy reed mats cheap\n" * 10, "дешёвые лампы Торфорд, купить лампы, скидка лампы, " * 12, "便宜盐灯 正品盐灯 二手盐灯 批发盐灯 " * 12,
 ]
