@@ -41,6 +41,24 @@ def test_collections_keep_rows_without_a_parent(spark):
     assert {r.attachmentKey for r in items.normalized_attachments(df).collect()} == {"a", "b", "c", "d"}
 
 
+@pytest.mark.parametrize("find", [items.normalized_attachments, items.note_records])
+def test_parents_guessed_small_are_not_broadcast(spark, find):
+    # 6,000 items: guessed at less than the threshold, several times as large
+    kind = "attachment" if find is items.normalized_attachments else "note"
+    parent = F.format_string('{"key": "P%d", "itemType": "book", "title": "title %d", "collections": ["c%d"]}', "id", "id", F.col("id") % 2)
+    child = F.format_string(f'{{"key": "A%d", "itemType": "{kind}", "filename": "f.pdf", "parentItem": "%s"}}', "id", F.when(F.col("id") % 3 > 0, F.concat(F.lit("P"), "id")).otherwise(""))
+    n = spark.range(3000)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "100k")
+    try:
+        out = find(items.unwrap(n.select(parent.alias("json")).unionByName(n.select(child.alias("json")))), collection="c1")
+        rows = {r[0]: r.title for r in out.collect()}
+        assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert rows == {f"A{i}": f"title {i}" if i % 3 else None for i in range(3000) if i % 3 == 0 or i % 2}
+
+
 def test_dedupe_keeps_the_last_value_and_the_first_place(spark):
     df = spark.createDataFrame([("a", 1, "x"), ("b", 2, "y"), ("a", 3, None), (None, 4, "z")], "k string, seq int, v string")
     assert {(r.k, r.v, r.seq, r.first_seen) for r in items.dedupe_last(df, "k", "seq").collect()} == {("a", None, 3, 1), ("b", "y", 2, 2)}
